@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import table
+from pairloom.llm.common import crc_mod, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,32 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm.language_id import learn, with_language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = learn(docs.where(crc_mod("doc_id", 4) != 2))
+    out, c = with_language(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), F.col(f"{c}.lang").alias("lang_pred"), F.col(f"{c}.score").alias("score"), F.col(f"{c}.rejected").alias("rejected"))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """Learned from the labelled rows outside the held-out third."""
+    from pairloom.llm.toxicity import learn
+
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id"), "toxic").where("toxic IS NOT NULL")
+    learned = docs.select("doc_id", "text").where(crc_mod("doc_id", 3) != 1).join(labels, F.col("doc_id") == F.col("label_id"))
+    return learn(learned, "text", "toxic")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm.toxicity import with_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out, score = with_toxicity(docs, toxicity_model(spark, docs, sf_dir))
+    return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -90,6 +116,8 @@ FROM b
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
+    "op3_language_id": op3_language_id,
+    "op6_toxicity": op6_toxicity,
     "op9_token_counts": op9_token_counts,
 }
 
