@@ -66,6 +66,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", f"{c}.n_bytes", f"{c}.n_tokens", f"{c}.over_limit")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm.warc import archive_round_trip
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return archive_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
@@ -113,12 +120,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
 FROM b
 """
 
+OP10_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS hex FROM p),
+g AS (SELECT hex AS ghex, min(page_id) AS first_id FROM h GROUP BY hex)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM h JOIN g ON hex = ghex
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
     "op6_toxicity": op6_toxicity,
     "op9_token_counts": op9_token_counts,
+    "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_quality_rules": OP2_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_quality_rules": OP2_SQL, "op10_warc": OP10_SQL}
