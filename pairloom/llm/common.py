@@ -2,46 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.session import materialise, shared_dir
+
+__all__ = ["crc_mod", "let", "materialise", "shared_dir", "table", "unused_name"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, through Spark's own reader (any store)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the cluster's spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary folder is made.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return str(own.get()).rstrip("/")
-    made = "file://" + tempfile.mkdtemp(prefix="pairloom-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back.
-
-    Cuts lineage and keeps every row where a lost executor can't take it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pairloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unused_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have (compared without case, as Spark does)."""
     taken = {c.lower() for c in df.columns}

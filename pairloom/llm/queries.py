@@ -39,6 +39,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), F.col(f"{c}.lang").alias("lang_pred"), F.col(f"{c}.score").alias("score"), F.col(f"{c}.rejected").alias("rejected"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm.ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
     """Learned from the labelled rows outside the held-out third."""
     from pairloom.llm.toxicity import learn
@@ -143,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
+    "op5_ngram_join": op5_ngram_join,
     "op6_toxicity": op6_toxicity,
     "op8_html_extraction": op8_html_extraction,
     "op9_token_counts": op9_token_counts,
