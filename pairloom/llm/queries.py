@@ -62,6 +62,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm.mixing import mixed
+
+    out = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), "mix_block", "mix_start", "mix_slot")
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairloom.llm.html_extraction import with_main_text
 
@@ -151,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op5_ngram_join": op5_ngram_join,
     "op6_toxicity": op6_toxicity,
+    "op7_mixing": op7_mixing,
     "op8_html_extraction": op8_html_extraction,
     "op9_token_counts": op9_token_counts,
     "op10_warc": op10_warc,
