@@ -28,7 +28,7 @@ RULES: dict[str, tuple[int, str]] = {
     "repeated_words": (1, "100 * n_repeat_words > 50 * n_words"),
     "symbols": (2, "4 * n_symbols > n_words"),
     "upper_case": (3, "n_letters > 0 AND 2 * n_upper > n_letters"),
-    "dup_lines": (4, "10 * n_dup_lines > 3 * n_lines"),
+    "dup_lines": (4, "n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines"),
     "short_words": (5, "n_words > 0 AND word_chars < 2 * n_words"),
     "long_words": (6, "word_chars > 20 * n_words"),
     "few_letters": (7, "2 * n_letters < word_chars"),

@@ -132,7 +132,7 @@ m AS (
 b AS (
   SELECT *, CAST((CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
     + (CASE WHEN 4 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN n_letters > 0 AND 2 * n_upper > n_letters THEN 8 ELSE 0 END)
-    + (CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 16 ELSE 0 END) + (CASE WHEN n_words > 0 AND word_chars < 2 * n_words THEN 32 ELSE 0 END)
+    + (CASE WHEN n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines THEN 16 ELSE 0 END) + (CASE WHEN n_words > 0 AND word_chars < 2 * n_words THEN 32 ELSE 0 END)
     + (CASE WHEN word_chars > 20 * n_words THEN 64 ELSE 0 END) + (CASE WHEN 2 * n_letters < word_chars THEN 128 ELSE 0 END) AS BIGINT) AS rule_bits
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_letters, n_upper, rule_bits,
