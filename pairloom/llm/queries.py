@@ -39,6 +39,15 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), F.col(f"{c}.lang").alias("lang_pred"), F.col(f"{c}.score").alias("score"), F.col(f"{c}.rejected").alias("rejected"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a directory for each source, language and thousand of ids."""
+    from pairloom.llm.license_scan import licence_scan
+
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.expr("CAST(doc_id DIV 1000 AS STRING)"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = table(spark, sf_dir, "documents").select(path.alias("path"), "text")
+    return licence_scan(files).drop("text_hash")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairloom.llm.ngram_join import ngram_join
 
@@ -152,10 +161,39 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM h JOIN g ON hex = ghex
 """
 
+def _op4_sql() -> str:
+    from pairloom.llm import license_scan as s
+
+    idf, rows, unknown = s.notice_vectors()
+    fold = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH idf(term, idf) AS (VALUES {", ".join(f"('{t}', CAST({w!r} AS DOUBLE))" for t, w in sorted(idf.items()))}),
+notice(notice, licence, term, part) AS (VALUES {", ".join(f"({k}, '{x}', '{t}', CAST({w!r} AS DOUBLE))" for k, x, t, w in rows)}),
+f AS (SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || CAST(doc_id // 1000 AS VARCHAR) AS place,
+        CAST(doc_id AS VARCHAR) || '.txt' AS name, text FROM documents),
+u AS (SELECT doc_id, place, name, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_words, unnest(regexp_split_to_array({fold.format("text")}, '{s.UNIT_END}')) AS unit FROM f),
+k AS (SELECT * FROM u WHERE regexp_matches(unit, '{s.ANCHOR}')),
+t AS (SELECT unit, term, count(*) AS n FROM (SELECT unit, unnest(regexp_extract_all(unit, '{s.TERM}')) AS term FROM (SELECT DISTINCT unit FROM k)) GROUP BY unit, term),
+w AS (SELECT unit, t.term, n * coalesce(idf, CAST({unknown!r} AS DOUBLE)) AS w FROM t LEFT JOIN idf ON t.term = idf.term),
+norms AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM w GROUP BY unit),
+dots AS (SELECT unit, notice, licence, sum(w * part) AS dot FROM w JOIN notice ON w.term = notice.term GROUP BY unit, notice, licence),
+sc AS (SELECT dots.unit, licence, round(dot / norm, 6) AS score FROM dots JOIN norms ON dots.unit = norms.unit),
+m AS (SELECT unit, licence, score FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, licence) AS r FROM sc WHERE score >= {s.THRESHOLD}) WHERE r = 1),
+h AS (SELECT doc_id, place, name, n_words, licence, score, len(regexp_extract_all(k.unit, '[^\x20\x09-\x0D]+')) AS words FROM k JOIN m ON k.unit = m.unit),
+o AS (SELECT doc_id, place, name, licence AS own_licence, score AS own_score, 2 * total >= n_words AS is_licence_file
+      FROM (SELECT *, sum(words) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) AS r FROM h) WHERE r = 1),
+d AS (SELECT place AS dir, own_licence AS dir_licence FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY own_score DESC, own_licence, place || '/' || name) AS r FROM o WHERE is_licence_file) WHERE r = 1)
+SELECT f.place || '/' || f.name AS path, own_licence, own_score, coalesce(is_licence_file, false) AS is_licence_file,
+  coalesce(own_licence, dir_licence) AS licence, CASE WHEN own_licence IS NULL THEN dir END AS inherited_from
+FROM f LEFT JOIN o ON f.doc_id = o.doc_id LEFT JOIN d ON f.place = d.dir
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
+    "op4_license_scan": op4_license_scan,
     "op5_ngram_join": op5_ngram_join,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
@@ -164,4 +202,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_quality_rules": OP2_SQL, "op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_license_scan": _op4_sql(), "op10_warc": OP10_SQL}
