@@ -54,12 +54,20 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
-    """Learned from the labelled rows outside the held-out third."""
+#: Labelled rows that the toxicity model is fitted on at most: those with the smallest hashes of their ids.
+MAX_LABELLED_ROWS = 50_000
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str, max_rows: int = MAX_LABELLED_ROWS):
+    """Learned from labelled rows outside the held-out third: all, or a sample of ``max_rows`` of them where there are more.
+
+    The sample's ids and labels are at most ``max_rows`` small rows, so they are broadcast and no text is shuffled.
+    """
     from pairloom.llm.toxicity import learn
 
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id"), "toxic").where("toxic IS NOT NULL")
-    learned = docs.select("doc_id", "text").where(crc_mod("doc_id", 3) != 1).join(labels, F.col("doc_id") == F.col("label_id"))
+    sample = labels.where(crc_mod("label_id", 3) != 1).orderBy(F.xxhash64("label_id"), "label_id", "toxic").limit(max_rows)
+    learned = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
     return learn(learned, "text", "toxic")
 
 
