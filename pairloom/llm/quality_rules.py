@@ -48,8 +48,9 @@ _SYMBOL = np.zeros(128, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[[*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]] = True
-_LETTER = _UPPER.copy()
-_LETTER[[*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = True
+#: Letters of ASCII; everything beyond ASCII counts as a letter, whatever its script.
+_LETTER = np.zeros(128, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -97,7 +98,7 @@ def measure(text: str | None) -> tuple[int, ...]:
                 dup += 1
             else:
                 seen.add(line)
-    return (len(words), len(cp) - spaces, int(_SYMBOL[low].sum()), dup, repeated_words(words), lines, int(_LETTER[latin].sum()), int(_UPPER[latin].sum()))
+    return (len(words), len(cp) - spaces, int(_SYMBOL[low].sum()), dup, repeated_words(words), lines, int(_LETTER[low].sum()) + len(cp) - len(low), int(_UPPER[latin].sum()))
 
 
 def _measured(text: pa.Array) -> pa.Array:

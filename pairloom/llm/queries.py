@@ -143,7 +143,7 @@ m AS (
     CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
     CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
-    CAST(length(regexp_replace(text, '[^A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]', '', 'g')) AS BIGINT) AS n_letters,
+    CAST(length(regexp_replace(text, '[^A-Za-z\x{80}-\x{10FFFF}]', '', 'g')) AS BIGINT) AS n_letters,
     CAST(length(regexp_replace(text, '[^A-Z\x{C0}-\x{D6}\x{D8}-\x{DE}]', '', 'g')) AS BIGINT) AS n_upper
   FROM w LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
 b AS (
