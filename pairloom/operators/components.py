@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.session import materialise
+from pairloom.session import materialise, release
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_iter: int = 60) -> DataFrame:
@@ -18,12 +18,16 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_iter:
     both = materialise(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     for _ in range(max_iter):
-        heard = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        near = labels.join(heard.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("c"))
+        own = labels.select("node", "component")
+        heard = both.join(own.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
+        near = own.join(heard.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("c"))
         jump = near.select(F.col("node").alias("c"), F.col("c").alias("further"))
-        after = near.join(jump, "c", "left").select("node", "old", F.least("c", F.coalesce("further", "c")).alias("component"))
-        after = materialise(after)
-        labels = after.select("node", "component")
-        if after.where(F.col("old") != F.col("component")).limit(1).count() == 0:
-            return labels
+        after = materialise(near.join(jump, "c", "left").select("node", F.least("c", F.coalesce("further", "c")).alias("component"), "old"))
+        release(labels)
+        labels = after
+        if after.where(F.col("old") != F.col("component")).isEmpty():
+            release(both)
+            done = labels.select("node", "component")
+            done._materialised_at = labels._materialised_at
+            return done
     raise RuntimeError(f"components didn't settle in {max_iter} rounds")
