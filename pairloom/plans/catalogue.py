@@ -713,3 +713,94 @@ oe AS (SELECT coalesce(w, 0) AS w, 1000.0 * ({_PARETO}) AS e FROM pr LEFT JOIN e
 def order_likelihood(spark, sf):
     few = order.initial(contigs(spark, sf)).where("ix < 30")
     return rounded(likelihood.log_likelihood(extent(spark, sf), bins(spark, sf), few, total=1000.0), "loglik")
+
+
+# ---------------------------------------------------------------- further operators
+
+
+@query(seq_sql("SELECT id AS cl_id, ix, length, round(gc, 6) AS gc, cov FROM ms", _DOCS))
+def member_stats(spark, sf):
+    return rounded(_doc_clusters(spark, sf)[0], "gc")
+
+
+@query(seq_sql("""SELECT name, CAST(r AS INT) AS rank, name || '_' || lpad(CAST(r AS VARCHAR), CAST(greatest(CAST(ceil(log10(size + 1)) AS INT), 1, length(CAST(r AS VARCHAR))) AS INT), '0') AS record_id,
+  'contig:' || seq_name || ' ori:UNKNOWN length:' || length AS description, seq FROM (
+  SELECT cm.*, size, 'CL' || lpad(CAST(id + 1 AS VARCHAR), CAST(greatest(CAST(ceil(log10(n)) AS INT), 1, length(CAST(id + 1 AS VARCHAR))) AS INT), '0') AS name,
+    row_number() OVER (PARTITION BY cm.old ORDER BY ix) AS r FROM cm JOIN dr ON cm.old = dr.old WHERE extent >= 20000)""", _DOCS))
+def cluster_fasta_records(spark, sf):
+    seqs = adapters.sequences(spark, sf)
+    dim = seqs.select("ix", F.col("seq_name").alias("name"), "length")
+    _, clusters, moved = _doc_clusters(spark, sf)
+    return report.fasta_records(moved, clusters, dim, seqs, 20_000)
+
+
+@query(sql("SELECT ix, name FROM contigs WHERE ix NOT IN (SELECT ix FROM members WHERE cl_id < 7)"))
+def lost_contigs(spark, sf):
+    return report.lost_contigs(contigs(spark, sf), members(spark, sf).where("cl_id < 7")).select("ix", "name")
+
+
+@query(sql("SELECT CAST(row_number() OVER (ORDER BY named.cl_id, members.ix) - 1 AS INT) AS rank, members.ix, 1 AS ori FROM named JOIN members ON named.old = members.cl_id WHERE extent >= 50000", _RANKED))
+def enabled_cluster_order(spark, sf):
+    moved, clusters = report.ranked(members(spark, sf), contigs(spark, sf))
+    return report.concatenated_order(report.filtered(clusters, 50_000), moved).select("rank", "ix", F.col("ori").cast("int").alias("ori"))
+
+
+_ENDS = """
+en AS (SELECT seq_name, CASE WHEN length < 400 THEN substr(seq, 1, length // 2) ELSE substr(seq, 1, 200) END AS h, CASE WHEN length < 400 THEN substr(seq, length // 2 + 1) ELSE substr(seq, length - 199) END AS t FROM seqs)
+"""
+_AATT = "CAST((length({x}) - length(replace({x}, 'AATT', ''))) / 4 - CASE WHEN starts_with({x}, 'AATT') THEN 1 ELSE 0 END AS INT)"
+
+
+@query(seq_sql(f"SELECT seq_name, {_AATT.format(x='h')} AS head_sites, {_AATT.format(x='t')} AS tail_sites FROM en", _ENDS))
+def tip_site_counts(spark, sf):
+    out = sequences.with_sites(adapters.sequences(spark, sf), [sequences.enzyme("MluCI")], 200)
+    return out.select("seq_name", F.col("sites")[0].alias("head_sites"), F.col("sites")[1].alias("tail_sites"))
+
+
+@query(seq_sql("SELECT seq_name, rtrim(regexp_replace(seq, '(.{60})', '\\1' || chr(10), 'g'), chr(10)) AS lines FROM seqs"))
+def wrapped_sequences(spark, sf):
+    return adapters.sequences(spark, sf).select("seq_name", sequences.wrapped(F.col("seq")).alias("lines"))
+
+
+@query(sql("SELECT node, sum(weight) AS strength FROM (SELECT u AS node, weight FROM edges UNION ALL SELECT v, weight FROM edges) GROUP BY node"))
+def node_strengths(spark, sf):
+    return graph.strengths(edges(spark, sf))
+
+
+@query(sql("SELECT u, v FROM hood", _NEAR))
+def neighbourhoods(spark, sf):
+    return graph.neighbourhood(edges(spark, sf))
+
+
+@query(sql("SELECT i, j, round(w, 6) AS w FROM m0", _mcl_sql(0)))
+def mcl_start_matrix(spark, sf):
+    return rounded(clustering.mcl_start(edges(spark, sf)), "w")
+
+
+@query(sql("SELECT i, j, round(w / (1e-3 * (0.5 * (CAST(a.length AS DOUBLE) + b.length))), 6) AS w FROM sym JOIN contigs a ON i = a.ix JOIN contigs b ON j = b.ix"))
+def length_normalised_map_arithmetic(spark, sf):
+    return rounded(normalise.by_length(symmetric(spark, sf), contigs(spark, sf), "arithmetic"), "w")
+
+
+@query(sql("SELECT i, j, round(w * (1 + i % 3) * (1 + j % 3), 6) AS w FROM norm"))
+def scaled_by_vector(spark, sf):
+    x = contigs(spark, sf).select("ix", (1 + F.col("ix") % 3).cast("double").alias("x"))
+    return rounded(normalise.scaled(normalise.by_sites(symmetric(spark, sf), contigs(spark, sf)), x), "w")
+
+
+@query(sql("SELECT CAST(row_number() OVER (ORDER BY ix) - 1 AS INT) AS rank, ix, CASE WHEN ix = 4 THEN -1 ELSE 1 END AS ori FROM contigs WHERE ix <> 2"))
+def flipped_and_masked_order(spark, sf):
+    own = order.flip(order.mask_one(order.initial(contigs(spark, sf)), 2), 4)
+    return order.accepted_positions(own).select("rank", "ix", F.col("ori").cast("int").alias("ori"))
+
+
+@query(sql("SELECT count(*) AS n FROM inf"))
+def informative_count(spark, sf):
+    return pairs.informative(adapters.alignments(spark, sf)).agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT refid, name FROM refs WHERE length >= 1000 AND refid % 5 = 0"))
+def missing_sequences(spark, sf):
+    refs = adapters.refs(spark, sf)
+    known = refs.where("refid % 5 <> 0").select(F.col("name").alias("seq_name"))
+    return contacts.missing_sequences(refs, known, PARAMS.min_len).select("refid", "name")
