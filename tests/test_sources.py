@@ -40,7 +40,10 @@ def test_bam(spark, tmp_path):
     records = [(f"r{k // 2}", 16 * (k % 2), k % 3, 10 * k, 60, [(0, 30), (4, 5)] if k % 5 else []) for k in range(200)]
     path = str(tmp_path / "x.bam")
     open(path, "wb").write(bam_bytes([("a", 5000), ("b", 6000), ("c", 10)], records))
-    got = bam.read_bam(spark, path).sort("rec_no").collect()
+    whole = bam.read_bam(spark, path).sort("rec_no").collect()
+    for size in (150, 400, 1111, 5000):
+        assert bam.read_bam(spark, path, size).sort("rec_no").collect() == whole
+    got = whole
     assert [(r["qname"], r["flag"], r["refid"], r["pos"], r["mapq"], [(c["op"], c["len"]) for c in r["cigar"]]) for r in got] == records
     assert [tuple(r) for r in bam.bam_references(spark, path).sort("refid").collect()] == [(0, "a", 5000), (1, "b", 6000), (2, "c", 10)]
     open(path, "wb").write(bam_bytes([("a", 5000)], [], "coordinate"))
