@@ -117,11 +117,13 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, source_col:
     weights = {s: weights[s] if weights.get(s, 0) > 0 else least for s in blocks}
     plan = schedule(blocks, weights)
     buckets = {r["s"]: max(1, r["rows"] // BUCKET_ROWS) for r in sizes}
-    rows = [(s, buckets[s], plan[s]) for s in sorted(blocks)]
-    ddl = f"{names['mix_name']} string, {names['mix_part']} bigint, {names['mix_phases']} array<struct<first:bigint,base:bigint,period:bigint,slots:array<int>>>"
-    table = F.broadcast(spark.createDataFrame(rows, ddl))
+    name = f"{names['mix_name']} string"
+    parts = F.broadcast(spark.createDataFrame([(s, buckets[s]) for s in sorted(blocks)], f"{name}, {names['mix_part']} bigint"))
+    # joined after the shuffle, so that no row carries its source's schedule through it
+    phases = f"{names['mix_phases']} array<struct<first:bigint,base:bigint,period:bigint,slots:array<int>>>"
+    schedules = F.broadcast(spark.createDataFrame([(s, plan[s]) for s in sorted(blocks)], f"{name}, {phases}"))
     keyed = docs.withColumns({names["mix_source"]: source, names["mix_hash"]: F.xxhash64(F.col(id_col), F.col(text_col)), names["mix_bytes"]: size})
-    keyed = keyed.join(table, c["mix_source"] == c["mix_name"])
+    keyed = keyed.join(parts, c["mix_source"] == c["mix_name"]).drop(names["mix_name"])
     # the bucket follows the hash's order, so positions by (bucket, hash) are positions by hash
     where = F.floor((F.shiftrightunsigned(c["mix_hash"], 33) * c["mix_part"]) / F.lit(1 << 31)).cast("bigint")
     keyed = keyed.withColumn(names["mix_bucket"], where)
@@ -130,9 +132,10 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, source_col:
     offsets = sums.select("s", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(names["mix_offset"]))
     inside = Window.partitionBy(c["mix_source"], c["mix_bucket"]).orderBy(c["mix_hash"], F.col(id_col)).rowsBetween(Window.unboundedPreceding, -1)
     within = keyed.withColumn(names["mix_key"], F.coalesce(F.sum(c["mix_bytes"]).over(inside), F.lit(0)))
-    placed = within.join(offsets, (c["mix_source"] == offsets["s"]) & (c["mix_bucket"] == offsets["b"]))
+    placed = within.drop(names["mix_part"]).join(offsets, (c["mix_source"] == offsets["s"]) & (c["mix_bucket"] == offsets["b"]))
     start = c["mix_offset"] + c["mix_key"]
     placed = placed.withColumn(names["mix_start"], start).withColumn(names["mix_block"], F.floor(start / F.lit(block_bytes)).cast("bigint"))
+    placed = placed.join(schedules, c["mix_source"] == c["mix_name"])
     return placed.select(*[F.col(f"`{x}`") for x in docs.columns], _slot(c["mix_phases"], c["mix_block"]).cast("bigint").alias(names["mix_slot"]), c["mix_block"], c["mix_start"])
 
 
