@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import materialise
+from pairloom.llm.common import materialise, release
 from pairloom.operators.components import connected_components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -310,7 +310,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = classes.select("cls", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.substring("sig", b * (2 * ROWS) + 1, F.lit(2 * ROWS)), b))).alias("band", "bucket")).select("bucket", "cls")
     jobs = block_jobs(bands, "bucket").join(classes.select("cls", "n", "sig"), "cls")
     ties = materialise(_by_job(jobs).mapInArrow(_ties, "u binary, v binary").distinct())
-    candidates = connected_components(ties).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
+    found = connected_components(ties)
+    candidates = found.select(F.col("node").alias("cls"), F.col("component").alias("comp"))
     chosen = materialise(candidates.join(classes.select("cls", "first", "copies"), "cls").select("comp", "cls", "copies", F.col("first.doc_id").alias("r_id"), F.col("first.text_hash").alias("r_hash")))
     hint = _bounded(chosen)
     texts = keyed.join(hint(chosen), keyed["doc_id"].eqNullSafe(chosen["r_id"]) & (keyed["text_hash"] == chosen["r_hash"])).select("comp", "cls", "copies", "text")
@@ -320,6 +321,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = connected_components(verified.select(F.col("cls").alias("u"), F.col("root").alias("v")))
     links = verified.groupBy("cls").agg(F.sum("links").alias("links"))
     linked = materialise(groups.withColumnRenamed("node", "cls").join(links, "cls", "left").join(classes.select("cls", "first"), "cls"))
+    release(ties, found, chosen, sets, verified, groups)
     heads = linked.groupBy("component").agg(F.min("first").alias("head"))
     grouped = linked.join(heads, "component").select("cls", "head", F.coalesce("links", F.lit(0)).alias("links"))
     every = classes.select("cls", "first", "copies").join(grouped, "cls", "left")
