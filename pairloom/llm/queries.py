@@ -54,7 +54,7 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-#: Labelled rows that the toxicity model is fitted on at most: those with the smallest hashes of their ids.
+#: Labelled rows that the toxicity model is fitted on at most, chosen by the hashes of their ids.
 MAX_LABELLED_ROWS = 50_000
 
 
@@ -66,7 +66,11 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str, max_rows:
     from pairloom.llm.toxicity import learn
 
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id"), "toxic").where("toxic IS NOT NULL")
-    sample = labels.where(crc_mod("label_id", 3) != 1).orderBy(F.xxhash64("label_id"), "label_id", "toxic").limit(max_rows)
+    labels = labels.where(crc_mod("label_id", 3) != 1)
+    n = labels.count()
+    if n > max_rows:  # a share that leaves room for chance; the limit only guards against ids that are repeated many times
+        labels = labels.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 40)) < int(0.95 * max_rows / n * (1 << 40)))
+    sample = labels.limit(max_rows)
     learned = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
     return learn(learned, "text", "toxic")
 

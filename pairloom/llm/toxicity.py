@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import materialise, unused_name
+from pairloom.llm.common import materialise, release, unused_name
 
 _WORD = re.compile(r"[^\W\d_]+|[\"“”«»„]")
 _QUOTES = frozenset("\"“”«»„")
@@ -35,7 +35,7 @@ _QUOTES = frozenset("\"“”«»„")
 _REPORTING = frozenset("quote quoted quotes quoting said says saying wrote writes called reported cited term word zitat sagte schrieb nannte dit écrit appelé citation dijo escribió llamó cita".split())
 WINDOW = 6
 #: Share of a hit's weight that is left within quotation marks, beside words of reporting, and for a misspelling.
-QUOTED, REPORTED, MISSPELLED = 0.35, 0.7, 0.6
+QUOTED, REPORTED, MISSPELLED = 0.35, 0.8, 0.6
 #: Shortest term that may be matched with an edit; entries of a worker's table of words.
 FUZZY_LENGTH, TABLE_ROWS = 5, 1_000_000
 
@@ -203,7 +203,9 @@ def learn(labelled: DataFrame, text_col: str, label_col: str, min_support: int =
             yield batch.filter(pa.array([w not in trie.terms and trie.within_one(w) is not None for w in words], pa.bool_()))
 
     beside = counts.where((c > 0) & (precision < min_precision)).select("word", "c").mapInArrow(near, "word string, c bigint")
-    return Model(terms, frozenset(r["word"] for r in beside.orderBy(F.desc("c"), "word").limit(max_terms).collect()))
+    exceptions = frozenset(r["word"] for r in beside.orderBy(F.desc("c"), "word").limit(max_terms).collect())
+    release(counts)
+    return Model(terms, exceptions)
 
 
 def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", out: str | None = None) -> tuple[DataFrame, str]:
