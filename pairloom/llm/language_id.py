@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import materialise, unused_name
+from pairloom.llm.common import materialise, release, unused_name
 
 ORDER, DISCOUNT = 4, 0.75
 #: Bits of a character code; four of them fit an unsigned 64-bit number with room for the order.
@@ -31,6 +31,8 @@ BITS = 15
 MASK = np.uint64((1 << BITS) - 1)
 #: Characters that are counted or scored at once.
 CHUNK = 4_000_000
+#: Longest text that calibration looks at; its sample is what reaches the driver.
+CALIBRATION_LENGTH = 20_000
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -205,6 +207,15 @@ def entropies(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.nda
     return result / np.maximum(length, 1)[:, None], length
 
 
+def _sample(rows: DataFrame, n: int) -> list:
+    """At most n different texts, those with the smallest hashes: only hashes are ordered, only the chosen texts are sent."""
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    last = hashed.select("h").orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    return hashed.where(F.col("h") <= last).groupBy("h").agg(F.first("text").alias("text"), F.first("lang").alias("lang")).collect()
+
+
 def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang", max_ngrams: int = 200_000, calibration_rows: int = 1000) -> Model | None:
     """A model from all rows with a text and a language."""
     rows = training.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -226,6 +237,7 @@ def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     for lang in langs:
         wanted = wanted | ((F.col("lang") == lang) & (F.col("n") >= least[lang]))
     kept = counts.where(wanted).toPandas()
+    release(counts)
     own = {}
     for lang in langs:
         part = kept[kept["lang"] == lang].sort_values("gram")
@@ -233,7 +245,7 @@ def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     langs = [x for x in langs if len(own[x][0])]
     alphabet = len(np.unique(np.concatenate([own[x][0] for x in langs]) & MASK)) + 1
     model = _model(langs, own, alphabet)
-    sample = rows.withColumn("h", F.xxhash64("text")).orderBy("h").limit(calibration_rows).select("text", "lang").collect()
+    sample = _sample(rows.where(F.length("text") <= CALIBRATION_LENGTH), calibration_rows)
     ce, length = entropies(model, [r["text"] for r in sample])
     mean, deviation = np.zeros(len(langs)), np.ones(len(langs))
     for j, lang in enumerate(langs):
