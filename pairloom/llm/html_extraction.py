@@ -12,6 +12,7 @@ each.  Depth and length aren't limited: nothing is recursive.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -48,35 +49,68 @@ def _named(attributes: str) -> str:
     return _CAPITAL.sub("-", " ".join(found)).lower()
 
 
+TAG, NAME = 1, 2
+
+
+def _cuts(tree: Tree) -> list[bool]:
+    """Nodes that are cut off, with all below them.
+
+    A name like ``has-sidebar`` may stand on the frame of the whole page: an element that holds most of the text and a heading or article isn't
+    cut for its name.
+    """
+    n = len(tree.tag)
+    gone = [False] * n
+    for i in range(1, n):
+        gone[i] = gone[tree.parent[i]] or tree.why[i] == TAG
+    size, core = [0] * n, [False] * n
+    for node, text in tree.pieces:
+        if text is not None and not gone[node]:
+            size[node] += len(text.strip())
+    for i in range(n - 1, 0, -1):
+        core[i] = core[i] or not gone[i] and (tree.tag[i] in ("h1", "main") or tree.tag[i] == "article" and tree.why[i] != NAME)
+        size[tree.parent[i]] += size[i]
+        core[tree.parent[i]] = core[tree.parent[i]] or core[i]
+    cut = gone
+    for i in range(1, n):
+        cut[i] = cut[i] or cut[tree.parent[i]] or tree.why[i] == NAME and not (core[i] and 2 * size[i] > size[0])
+    return cut
+
+
 class Tree:
     """Parallel lists by node number; a parent's number is below its children's."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.cut = ["#root"], [-1], [False]
+        self.tag, self.parent = ["#root"], [-1]
+        #: Why a node isn't article text by itself: its tag (or being hidden), its name, or 0.
+        self.why = [0]
+        #: Open elements by tag, so that stray end tags cost nothing at any depth.
+        self.opened: Counter[str] = Counter()
         #: Pieces in page order: (node, text), or (node, None) where a block begins or ends.
         self.pieces: list[tuple[int, str | None]] = []
         self._parse(html)
 
     def _open(self, tag: str, attributes: str, stack: list[int]) -> int:
-        up = stack[-1]
-        cut = self.cut[up] or tag in _CUT
-        inside = any(self.tag[n] in ("article", "main") for n in stack) if tag == "header" or attributes and not cut else False
-        if not cut and tag == "header" and not inside:
-            cut = True
-        if not cut and attributes and tag not in ("html", "body", "main"):
-            if _HIDDEN.search(attributes):
-                cut = True
-            elif "=" in attributes and (name := _named(attributes)):
-                cut = bool(_NEGATIVE.search(name)) and not (tag == "article" and not re.search("comment|repl|advert|sponsor|promo|related|teaser", name)) or not inside and bool(_HEADER.search(name))
+        inside = self.opened["article"] + self.opened["main"] > 0
+        why = 0
+        if tag in _CUT or tag == "header" and not inside or attributes and tag not in ("html", "body", "main") and _HIDDEN.search(attributes):
+            why = TAG
+        elif "=" in attributes and tag not in ("html", "body", "main") and (name := _named(attributes)):
+            if tag == "article":
+                negative = re.search("comment|repl|advert|sponsor|promo|related|teaser", name)
+            else:
+                negative = _NEGATIVE.search(name) or not inside and _HEADER.search(name)
+            why = NAME if negative else 0
         self.tag.append(tag)
-        self.parent.append(up)
-        self.cut.append(cut)
+        self.parent.append(stack[-1])
+        self.why.append(why)
         return len(self.tag) - 1
 
     def _end(self, stack: list[int], at: int) -> None:
         """Close the elements of the stack from ``at`` on."""
         if any(self.tag[n] in _BLOCK for n in stack[at:]):
             self.pieces.append((stack[at], None))
+        for n in stack[at:]:
+            self.opened[self.tag[n]] -= 1
         del stack[at:]
 
     def _parse(self, html: str) -> None:
@@ -95,8 +129,10 @@ class Tree:
                 continue
             tag, attributes = name.lower(), m[3] or m[6] or ""
             if m[1] or m[4]:
-                if tag == "p" and not any(tags[n] == "p" for n in stack):
-                    self.pieces.append((stack[-1], None))
+                if not self.opened[tag]:
+                    if tag in _BLOCK:
+                        self.pieces.append((stack[-1], None))
+                    continue
                 k = len(stack) - 1
                 while k and tags[stack[k]] != tag:
                     if tag not in _BLOCK and tags[stack[k]] in _BLOCK:
@@ -119,7 +155,7 @@ class Tree:
                     k -= 1
                 if k and tags[stack[k]] in own:
                     self._end(stack, k)
-            if tag in ("html", "body") and any(tags[n] == tag for n in stack):
+            if tag in ("html", "body") and self.opened[tag]:
                 continue
             node = self._open(tag, attributes, stack)
             if tag in _BLOCK:
@@ -129,10 +165,9 @@ class Tree:
                 if tag == "textarea" or tag == "title":
                     self.pieces.append((node, html[at : end.start()] if end else html[at:]))
                 at = end.end() if end else len(html)
-            elif tag not in _VOID and not attributes.rstrip().endswith("/"):
-                stack.append(node)
-            elif tag not in _VOID and tag in _BLOCK:
+            elif tag not in _VOID and (tag in _BLOCK or not attributes.rstrip().endswith("/")):
                 stack.append(node)
+                self.opened[tag] += 1
 
 
 def main_text(html: str | None) -> str:
@@ -140,7 +175,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = Tree(html)
-    tag, parent, cut = tree.tag, tree.parent, tree.cut
+    tag, parent, cut = tree.tag, tree.parent, _cuts(tree)
     n = len(tag)
     in_link = [False] * n
     block = [0] * n  # nearest block at or above each node

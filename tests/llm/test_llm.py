@@ -325,6 +325,8 @@ def test_mixing_keeps_all_rows(spark):
         ('<div class="cookie-notice">We use cookies, many, many cookies, and say so at great length here.</div><main><p>Body text, real one.</p></main>', "Body text, real one."),
         ('<article><p>First, one.</p><div class="ad">Buy, now, please, all.</div><p>Second.</p></article><section class="comments"><p>I, for one, liked, this, a, lot.</p></section>', "First, one. Second."),
         ("<ul><li><a href=x>a</a><li><a href=y>b</a><li><a>c</a></ul><div><p>Text, with words.</p></div><aside>Side</aside><form><label>n</label></form>", "Text, with words."),
+        ('<div class="page has-sidebar"><h1>T</h1><p>Long, text of the page itself.</p><div class="sidebar"><p>Side, text.</p></div></div>', "T Long, text of the page itself."),
+        ('<div class="menu-open"><main><p>Body, here.</p></main></div><section id="comments"><article class="comment"><h1>x</h1><p>No, no.</p></article></section>', "Body, here."),
         ('<p title="a>b">in, text</p>', "in, text"), ("<article><p>cut off, here <b>and", "cut off, here and"),
     ],
 )
@@ -335,6 +337,7 @@ def test_main_text(page, want):
 def test_deep_and_broken_pages():
     assert html_extraction.main_text("<div>" * 20_000 + "deep, text") == "deep, text"
     assert html_extraction.main_text('<p "' * 2000) is not None
+    assert html_extraction.main_text("<div class=x>" * 20_000 + "</section>" * 20_000 + "deep, text" + "<b>" * 20_000 + "<p>x, y") == "deep, text x, y"
 
 
 @settings(max_examples=200, deadline=None)
