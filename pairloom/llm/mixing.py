@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.common import let, unused_name
 
-BLOCK_BYTES, PERIOD, MAX_SOURCES, BUCKET_ROWS = 65_536, 1000, 1000, 20_000
+BLOCK_BYTES, PERIOD, MAX_SOURCES, BUCKET_ROWS = 65_536, 1000, 1000, 2_000
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
