@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Op codes of an alignment that use up the reference: M, D, N, =, X.
 REFERENCE_OPS = (0, 2, 3, 7, 8)
+#: Bases from which on the contact density is constant.
+FAR_SEPARATION = 500_000
 _IUPAC = "ACGTUMRWSYKVHDBNacgtumrwsykvhdbn"
 _PAIRED = "TGCAAKYWSRMBDHVNtgcaakywsrmbdhvn"
 
@@ -63,7 +65,7 @@ def pareto_density(s: Column) -> Column:
     """Contact density at separation s: generalised Pareto below 500 kb, constant beyond."""
     # fixed values: shape, scale, location, far density
     a, lam, mu, far = 0.122123774414444, 13.675170758388262, 13.973247315647466, 2e-8
-    return F.when(s < 500_000, a / lam * F.pow(1 + (s - mu) / lam, F.lit(-a - 1))).otherwise(F.lit(far))
+    return F.when(s < FAR_SEPARATION, a / lam * F.pow(1 + (s - mu) / lam, F.lit(-a - 1))).otherwise(F.lit(far))
 
 
 def zero_padded(number: Column, width: Column) -> Column:

@@ -1,14 +1,13 @@
-"""Poisson likelihood of binned contacts under a distance model; for small maps, as it looks at every pair of bins."""
+"""Poisson likelihood of binned contacts under a distance model."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.functions.scalar import pareto_density
-from pairloom.operators.order import intervening
+from pairloom.functions.scalar import FAR_SEPARATION, pareto_density
 
 
 def poisson_term(observed: Column, expected: Column, zero_counts: bool = True) -> Column:
@@ -23,21 +22,47 @@ def poisson_loglik(pairs: DataFrame, zero_counts: bool = True) -> DataFrame:
     return pairs.agg((-F.sum(poisson_term(F.col("observed"), F.col("expected"), zero_counts))).alias("loglik"))
 
 
+def _side(placed: DataFrame, k: str) -> DataFrame:
+    """The columns of a contig or bin table as those of one side of a pair."""
+    return placed.select(*[F.col(c).alias(c + k) for c in placed.columns])
+
+
+def _expected(weight: Column) -> Column:
+    """Expectation of a pair of bins; side 1 has the contig of the smaller ix.  As published, each contig's centres take the other one's orientation."""
+    between = F.abs(F.col("mid2") - F.col("mid1"))
+    return weight * pareto_density(F.abs(between + F.col("ori1") * F.col("center2") - F.col("ori2") * F.col("center1")))
+
+
 def log_likelihood(extent: DataFrame, bins: DataFrame, order: DataFrame, total: float | None = None, zero_counts: bool = True) -> DataFrame:
-    """One row: the log-likelihood of an order.  ``extent`` has b1 <= b2.
+    """One row: the log-likelihood of an order.  ``extent`` has b1 <= b2; centres lie within their contig.
 
-    Every pair of accepted contigs and every pair of their bins counts, present or not: rows grow with the square of the bins by definition.
+    Every pair of bins of two accepted contigs counts, present or not, without being a row: bins of contigs ``FAR_SEPARATION`` or more apart all
+    have the far density, so these pairs are counted; nearer contigs are found by blocks of the order and their bins' expectations summed; contacts
+    then add what they differ by from absent ones.  Rows grow with the bins times those of their neighbourhood, and with the contacts.
     """
-    own = order.where("mask").select("ix", "length", "ori")
-    a, b = own.select(F.col("ix").alias("a")), own.select(F.col("ix").alias("b"))
-    pairs = a.join(b, F.col("a") < F.col("b"))
-    gaps = intervening(order, pairs)
-    x = bins.join(own, "ix").select(F.col("ix").alias("a"), F.col("bin_id").alias("b1"), F.col("center").alias("c1"), F.col("ori").alias("o1"), F.col("length").alias("l1"))
-    y = bins.join(own, "ix").select(F.col("ix").alias("b"), F.col("bin_id").alias("b2"), F.col("center").alias("c2"), F.col("ori").alias("o2"), F.col("length").alias("l2"))
-    every = gaps.join(x, "a").join(y, "b")
-    # as published: each contig's centres take the other one's orientation
-    apart = F.abs(F.col("between") + 0.5 * (F.col("l1") + F.col("l2")) + F.col("o1") * F.col("c2") - F.col("o2") * F.col("c1"))
-    weight = F.lit(total) if total is not None else F.lit(1.0)
-    seen = extent.select(F.col("b1").alias("e1"), F.col("b2").alias("e2"), "w")
-    joined = every.join(seen, (F.least("b1", "b2") == F.col("e1")) & (F.greatest("b1", "b2") == F.col("e2")), "left")
-    return poisson_loglik(joined.select(F.coalesce("w", F.lit(0)).alias("observed"), (weight * pareto_density(apart)).alias("expected")), zero_counts)
+    weight = F.lit(float(total)) if total is not None else F.lit(1.0)
+    run = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    own = order.where("mask").withColumn("ahead", F.coalesce(F.sum("length").over(run), F.lit(0)))
+    own = own.select("ix", "ori", "ahead", (F.col("ahead") + F.col("length")).alias("end"), (F.col("ahead") + 0.5 * F.col("length")).alias("mid"))
+    placed = bins.select("ix", "bin_id", "center").join(own.select("ix", "ori", "mid"), "ix")
+    a, b = _side(placed, "1"), _side(placed, "2")
+    seen = extent.where("w > 0").join(a.withColumnRenamed("bin_id1", "b1"), "b1").join(b.withColumnRenamed("bin_id2", "b2"), "b2").where("ix1 <> ix2")
+    first = F.col("ix1") < F.col("ix2")
+    turned = [F.when(first, F.col(f"{c}{k}")).otherwise(F.col(f"{c}{3 - k}")).alias(f"{c}{k}") for c in ("mid", "ori", "center") for k in (1, 2)]
+    seen = seen.select("w", *turned).select(F.col("w").alias("observed"), _expected(weight).alias("expected"))
+    if not zero_counts:
+        return poisson_loglik(seen)
+    counts = bins.groupBy("ix").agg(F.count("*").alias("n"))
+    sized = own.join(counts, "ix")
+    block = F.floor(F.col("ahead") / FAR_SEPARATION)
+    x = sized.withColumn("block", F.explode(F.sequence(block, F.floor((F.col("end") + FAR_SEPARATION) / FAR_SEPARATION))))
+    y = sized.withColumn("block", block)
+    close = _side(x, "x").join(_side(y, "y"), F.col("blockx") == F.col("blocky")).where((F.col("aheadx") < F.col("aheady")) & (F.col("aheady") - F.col("endx") < FAR_SEPARATION))
+    close = close.select(F.least("ixx", "ixy").alias("ix1"), F.greatest("ixx", "ixy").alias("ix2"), (F.col("nx") * F.col("ny")).alias("n"))
+    near = close.select("ix1", "ix2").join(a.drop("bin_id1"), "ix1").join(b.drop("bin_id2"), "ix2").agg(F.coalesce(F.sum(_expected(weight)), F.lit(0.0)).alias("near"))
+    every = sized.agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("every"))
+    counted = close.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("counted"))
+    # a contact's term beyond the expectation, which is summed for all pairs
+    more = seen.agg(F.coalesce(F.sum(poisson_term(F.col("observed"), F.col("expected")) - F.col("expected")), F.lit(0.0)).alias("more"))
+    far = weight * pareto_density(F.lit(FAR_SEPARATION)) * (F.col("every") - F.col("counted"))
+    return every.crossJoin(counted).crossJoin(near).crossJoin(more).select((-(F.col("more") + F.col("near") + far)).alias("loglik"))
