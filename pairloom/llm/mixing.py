@@ -1,12 +1,14 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents are put in a fixed random order and cut into blocks of ``block_bytes``.  Time is divided into slots of one block.  A
-source of weight w releases its i-th block (from 1) at floor((i - 1) / w) and needs it placed by ceil(i / w); of the released blocks the one with
-the earliest deadline goes first.  The windows make every source's share of any prefix differ from its target by less than one block.
+Each source's documents are put in a fixed random order and cut into blocks of ``block_bytes``.  Time is divided into slots of one block.  The
+target is the fluid mixture: at any time the sources that aren't used up there share a slot by their weights.  A block is released in the slot in
+which the fluid mixture begins it and needs to be placed by the end of the slot in which that ends it; of the released blocks the one with the
+earliest deadline goes first.  Releases and deadlines are exact (whole-number arithmetic on the weights as given) over the whole horizon, so every
+source's share of any prefix differs from its target by less than one block, however long.  Nothing is dropped or repeated.
 
-Weights are rounded to shares of a period of P slots, so the schedule repeats: it is worked out for one period on the driver (from the number of
-blocks of each source, never from rows) and a block's slot follows by arithmetic.  When a source has no blocks left, the remaining ones go on with
-their weights scaled up, as a new phase.  Nothing is dropped or repeated.
+The schedule is worked out slot by slot on the driver, from the number of blocks of each source and never from rows, with memory for the sources
+only; it is written to the shared folder by chunks, as a table with a row per block.  Each bucket of rows (see below) is joined with the slots of
+its blocks, so rows are shuffled once.
 
 A source's order is found without sorting it in one task: rows go to buckets by their hash, buckets are summed, and positions are counted within
 buckets only.
@@ -19,14 +21,72 @@ refused: the table that is broadcast grows with their number squared.
 from __future__ import annotations
 
 import heapq
+import math
+import uuid
+from bisect import bisect_left
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import accumulate, islice
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import let, unused_name
+from pairloom.llm.common import shared_dir, unused_name
 
 BLOCK_BYTES, PERIOD, MAX_SOURCES, BUCKET_ROWS = 65_536, 1000, 1000, 2_000
+#: Slots of the schedule that are written at once.
+CHUNK_SLOTS = 500_000
+
+
+def fluid_slots(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int]]:
+    """(source, block) slot by slot: earliest deadline first among released blocks (ties by name)."""
+    names = sorted(s for s, n in blocks.items() if n > 0)
+    exact = [Fraction(weights[s]) for s in names]
+    unit = math.lcm(*(w.denominator for w in exact))
+    n, w = [blocks[s] for s in names], [int(x * unit) for x in exact]
+    # sources by when the fluid mixture uses them up; before the k-th end, done[k] blocks are of used up sources and the others weigh rest[k]
+    ends = sorted(range(len(names)), key=lambda k: Fraction(n[k], w[k]))
+    done = [0, *accumulate(n[k] for k in ends)]
+    rest = [*accumulate((w[k] for k in reversed(ends)))][::-1]
+    at = [0] * len(names)  # the next end of any source, as each source's blocks see it
+    placed = [0] * len(names)
+
+    def ended(k: int) -> tuple[int, int]:
+        """The slot in which the source's next block ends, and the one in which the block after that begins."""
+        i = placed[k] + 1
+        if i * w[ends[at[k]]] > n[ends[at[k]]] * w[k]:
+            at[k] = bisect_left(range(len(ends)), True, lo=at[k] + 1, key=lambda e: i * w[ends[e]] <= n[ends[e]] * w[k])
+        whole, part = divmod(i * rest[at[k]], w[k])
+        return done[at[k]] + whole + (part > 0), done[at[k]] + whole
+
+    released = [(*ended(k), k) for k in range(len(names))]  # (deadline, release of the block after it, source)
+    heapq.heapify(released)
+    waiting: list[tuple[int, int]] = []
+    for now in range(sum(n)):
+        while waiting and waiting[0][0] <= now:
+            _, k = heapq.heappop(waiting)
+            heapq.heappush(released, (*ended(k), k))
+        _, after, k = heapq.heappop(released)
+        yield names[k], placed[k]
+        placed[k] += 1
+        if placed[k] < n[k]:
+            heapq.heappush(waiting, (after, k))
+
+
+def slot_table(spark: SparkSession, blocks: dict[str, int], weights: dict[str, float]) -> DataFrame:
+    """The schedule (slot_source, slot_block, slot), written by chunks to the shared folder."""
+    path, slots, start = f"{shared_dir(spark)}/pairloom-{uuid.uuid4().hex}", fluid_slots(blocks, weights), 0
+    while (chunk := [*islice(slots, CHUNK_SLOTS)]) or not start:
+        columns = [pa.array([s for s, _ in chunk], "string"), pa.array([k for _, k in chunk], "int64"), pa.array(range(start, start + len(chunk)), "int64")]
+        spark.createDataFrame(pa.table(columns, ["slot_source", "slot_block", "slot"])).write.mode("append").parquet(path)
+        if not chunk:
+            break
+        start += len(chunk)
+    return spark.read.schema("slot_source string, slot_block bigint, slot bigint").parquet(path)
+
+
+# ---------------------------------------------------------------- a repeating schedule by rounded weights; no query uses it
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -87,15 +147,6 @@ def schedule(blocks: dict[str, int], weights: dict[str, float], period: int = PE
     return out
 
 
-def _slot(phases: Column, block: Column) -> Column:
-    def of(p: Column) -> Column:
-        ahead = block - p["first"]
-        n = F.size(p["slots"])
-        return p["base"] + p["period"] * F.floor(ahead / n) + F.get(p["slots"], (ahead % n).cast("int"))
-
-    return let(F.element_at(F.filter(phases, lambda p: p["first"] <= block), -1), of)
-
-
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, power: float = 0.5) -> DataFrame:
     """``docs`` with mix_slot (the slot of its block), mix_block (the block of its source) and mix_start (its place in the source, in bytes).
 
@@ -103,7 +154,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, source_col:
     in ``docs`` are kept; the new ones are then led by underscores.
     """
     spark = docs.sparkSession
-    names = {n: unused_name(docs, n) for n in ("mix_slot", "mix_block", "mix_start", "mix_source", "mix_hash", "mix_bytes", "mix_bucket", "mix_offset", "mix_key", "mix_part", "mix_phases", "mix_name")}
+    names = {n: unused_name(docs, n) for n in ("mix_slot", "mix_block", "mix_start", "mix_source", "mix_hash", "mix_bytes", "mix_bucket", "mix_offset", "mix_key", "mix_part", "mix_name", "mix_first", "mix_slots")}
     c = {k: F.col(v) for k, v in names.items()}
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     size = F.greatest(F.coalesce(F.octet_length(text_col), F.lit(1)), F.lit(1)).cast("bigint")
@@ -115,13 +166,10 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, source_col:
         weights = {r["s"]: r["bytes"] ** power for r in sizes}
     least = min((w for w in weights.values() if w > 0), default=1.0)
     weights = {s: weights[s] if weights.get(s, 0) > 0 else least for s in blocks}
-    plan = schedule(blocks, weights)
+    slots = slot_table(spark, blocks, weights)
     buckets = {r["s"]: max(1, r["rows"] // BUCKET_ROWS) for r in sizes}
     name = f"{names['mix_name']} string"
     parts = F.broadcast(spark.createDataFrame([(s, buckets[s]) for s in sorted(blocks)], f"{name}, {names['mix_part']} bigint"))
-    # joined after the shuffle, so that no row carries its source's schedule through it
-    phases = f"{names['mix_phases']} array<struct<first:bigint,base:bigint,period:bigint,slots:array<int>>>"
-    schedules = F.broadcast(spark.createDataFrame([(s, plan[s]) for s in sorted(blocks)], f"{name}, {phases}"))
     keyed = docs.withColumns({names["mix_source"]: source, names["mix_hash"]: F.xxhash64(F.col(id_col), F.col(text_col)), names["mix_bytes"]: size})
     keyed = keyed.join(parts, c["mix_source"] == c["mix_name"]).drop(names["mix_name"])
     # the bucket follows the hash's order, so positions by (bucket, hash) are positions by hash
@@ -129,14 +177,19 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, source_col:
     keyed = keyed.withColumn(names["mix_bucket"], where)
     sums = keyed.groupBy(c["mix_source"].alias("s"), c["mix_bucket"].alias("b")).agg(F.sum(c["mix_bytes"]).alias("n"))
     before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("s", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(names["mix_offset"]))
+    offsets = sums.select("s", "b", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("o"))
+    first, last = F.floor(F.col("o") / F.lit(block_bytes)), F.floor((F.col("o") + F.col("n") - 1) / F.lit(block_bytes))
+    held = offsets.select("s", "b", "o", F.explode(F.sequence(first, last)).alias("k")).join(slots, (F.col("s") == F.col("slot_source")) & (F.col("k") == F.col("slot_block")))
+    # the slots of a bucket's blocks, from its first block on
+    slots_of = F.transform(F.array_sort(F.collect_list(F.struct("k", "slot"))), lambda x: x["slot"])
+    offsets = held.groupBy("s", "b").agg(F.min("o").alias(names["mix_offset"]), F.min("k").alias(names["mix_first"]), slots_of.alias(names["mix_slots"]))
     inside = Window.partitionBy(c["mix_source"], c["mix_bucket"]).orderBy(c["mix_hash"], F.col(id_col)).rowsBetween(Window.unboundedPreceding, -1)
     within = keyed.withColumn(names["mix_key"], F.coalesce(F.sum(c["mix_bytes"]).over(inside), F.lit(0)))
     placed = within.drop(names["mix_part"]).join(offsets, (c["mix_source"] == offsets["s"]) & (c["mix_bucket"] == offsets["b"]))
     start = c["mix_offset"] + c["mix_key"]
     placed = placed.withColumn(names["mix_start"], start).withColumn(names["mix_block"], F.floor(start / F.lit(block_bytes)).cast("bigint"))
-    placed = placed.join(schedules, c["mix_source"] == c["mix_name"])
-    return placed.select(*[F.col(f"`{x}`") for x in docs.columns], _slot(c["mix_phases"], c["mix_block"]).cast("bigint").alias(names["mix_slot"]), c["mix_block"], c["mix_start"])
+    slot = F.get(c["mix_slots"], (c["mix_block"] - c["mix_first"]).cast("int"))
+    return placed.select(*[F.col(f"`{x}`") for x in docs.columns], slot.alias(names["mix_slot"]), c["mix_block"], c["mix_start"])
 
 
 def in_order(mixture: DataFrame, partitions: int) -> DataFrame:
