@@ -14,8 +14,8 @@ A source's order is found without sorting it in one task: rows go to buckets by
 buckets only.
 
 Defined results: null sources are one source of their own (named ''); null and empty texts count one byte; sources without a weight get that of
-the smallest weighted one; equal rows lie beside each other; an empty table gives an empty result.  More than ``MAX_SOURCES`` sources are
-refused: the table that is broadcast grows with their number squared.
+the smallest weighted one; equal rows lie beside each other; an empty table gives an empty result.  Any number of sources will do: the driver
+holds a name and a few numbers of each, and what is broadcast are sources of several buckets only.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.common import shared_dir, unused_name
 
-BLOCK_BYTES, PERIOD, MAX_SOURCES, BUCKET_ROWS = 65_536, 1000, 1000, 2_000
+BLOCK_BYTES, PERIOD, BUCKET_ROWS = 65_536, 1000, 2_000
 #: Slots of the schedule that are written at once.
 CHUNK_SLOTS = 500_000
 
@@ -158,22 +158,20 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, source_col:
     c = {k: F.col(v) for k, v in names.items()}
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     size = F.greatest(F.coalesce(F.octet_length(text_col), F.lit(1)), F.lit(1)).cast("bigint")
-    sizes = docs.groupBy(source.alias("s")).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
+    sizes = docs.groupBy(source.alias("s")).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows")).collect()
     blocks = {r["s"]: -(-r["bytes"] // block_bytes) for r in sizes}
     if weights is None:
         weights = {r["s"]: r["bytes"] ** power for r in sizes}
     least = min((w for w in weights.values() if w > 0), default=1.0)
     weights = {s: weights[s] if weights.get(s, 0) > 0 else least for s in blocks}
     slots = slot_table(spark, blocks, weights)
-    buckets = {r["s"]: max(1, r["rows"] // BUCKET_ROWS) for r in sizes}
-    name = f"{names['mix_name']} string"
-    parts = F.broadcast(spark.createDataFrame([(s, buckets[s]) for s in sorted(blocks)], f"{name}, {names['mix_part']} bigint"))
+    # sources of several buckets, of which there are fewer than rows by BUCKET_ROWS; the others have one
+    buckets = sorted((r["s"], r["rows"] // BUCKET_ROWS) for r in sizes if r["rows"] >= 2 * BUCKET_ROWS)
+    parts = F.broadcast(spark.createDataFrame(buckets, f"{names['mix_name']} string, {names['mix_part']} bigint"))
     keyed = docs.withColumns({names["mix_source"]: source, names["mix_hash"]: F.xxhash64(F.col(id_col), F.col(text_col)), names["mix_bytes"]: size})
-    keyed = keyed.join(parts, c["mix_source"] == c["mix_name"]).drop(names["mix_name"])
+    keyed = keyed.join(parts, c["mix_source"] == c["mix_name"], "left").drop(names["mix_name"])
     # the bucket follows the hash's order, so positions by (bucket, hash) are positions by hash
-    where = F.floor((F.shiftrightunsigned(c["mix_hash"], 33) * c["mix_part"]) / F.lit(1 << 31)).cast("bigint")
+    where = F.floor((F.shiftrightunsigned(c["mix_hash"], 33) * F.coalesce(c["mix_part"], F.lit(1))) / F.lit(1 << 31)).cast("bigint")
     keyed = keyed.withColumn(names["mix_bucket"], where)
     sums = keyed.groupBy(c["mix_source"].alias("s"), c["mix_bucket"].alias("b")).agg(F.sum(c["mix_bytes"]).alias("n"))
     before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)

@@ -66,3 +66,11 @@ def test_rows_get_the_slots_of_their_blocks(spark, monkeypatch, chunk):
         size[r["source"]] = size.get(r["source"], 0) + len(r["text"])
     want = {x: t for t, x in enumerate(mixing.fluid_slots({s: -(-n // 128) for s, n in size.items()}, weights))}
     assert all(r["mix_slot"] == want[r["source"], r["mix_block"]] for r in out)
+
+
+def test_thousands_of_sources(spark):
+    docs = spark.createDataFrame([(k, f"host{k % 2500}", "x" * (k % 90)) for k in range(6000)], "doc_id bigint, source string, text string")
+    out = mixing.mixed(docs, block_bytes=64).collect()
+    assert len(out) == 6000
+    blocks = {(r["source"], r["mix_block"]): r["mix_slot"] for r in out}
+    assert len({r["source"] for r in out}) == 2500 and len(set(blocks.values())) == len(blocks) and None not in blocks.values()
