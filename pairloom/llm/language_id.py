@@ -1,12 +1,12 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Training counts the highest-order character n-grams of all training rows, per language; lower orders are Kneser-Ney continuation counts and so
-follow from the distinct higher-order n-grams.  Tasks add up their n-grams before anything is shuffled.  What reaches the driver is at most
-``max_ngrams`` n-grams per language (a parameter of the model: the count threshold that keeps so many is read off a histogram), from which
-probabilities and back-off weights are computed for all languages at once and kept as sorted arrays of hashes beside a row of log
-probabilities.  Scoring looks each n-gram of a text up by binary search, backs off where it is unseen and takes the language of lowest
-cross-entropy per character.  A text whose cross-entropy is far beyond what texts of that language have (mean and deviation measured on a
-bounded sample of training rows, ``calibration_rows``) is flagged as rejected.
+follow from the distinct higher-order n-grams.  Tasks add up their n-grams before anything is shuffled.  All distinct n-grams with their counts
+reach the driver, where probabilities and back-off weights are computed for all languages at once and kept as sorted arrays of hashes beside a row
+of log probabilities; the model is broadcast.  None is dropped, so the driver and each executor need room for the distinct n-grams times the
+languages, which grow with the variety of the texts and not with their rows.  Scoring looks each n-gram of a text up by binary search, backs off where it is unseen and takes the language of lowest
+cross-entropy per character.  A text whose cross-entropy is far beyond what texts of that language have (mean and deviation over all training
+rows) is flagged as rejected.
 
 Texts are lower-cased; everything that isn't a letter becomes one space.  Defined results: null texts and texts without letters: ``und``, score
 0; ties: the first language by name; rows with a null language aren't learned from; no training rows: ``und`` for all.
@@ -31,8 +31,8 @@ BITS = 15
 MASK = np.uint64((1 << BITS) - 1)
 #: Characters that are counted or scored at once.
 CHUNK = 4_000_000
-#: Longest text that calibration looks at; its sample is what reaches the driver.
-CALIBRATION_LENGTH = 20_000
+#: Characters that a text needs to be calibrated on, texts that a language needs, and its least deviation.
+CALIBRATION_CHARS, CALIBRATION_TEXTS, LEAST_DEVIATION = 20, 5, 0.05
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -207,54 +207,45 @@ def entropies(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.nda
     return result / np.maximum(length, 1)[:, None], length
 
 
-def _sample(rows: DataFrame, n: int) -> list:
-    """At most n different texts, those with the smallest hashes: only hashes are ordered, only the chosen texts are sent."""
-    hashed = rows.withColumn("h", F.xxhash64("text"))
-    last = hashed.select("h").orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    if last is None:
-        return []
-    return hashed.where(F.col("h") <= last).groupBy("h").agg(F.first("text").alias("text"), F.first("lang").alias("lang")).collect()
+def _calibrate(model: Model, rows: DataFrame) -> None:
+    """Mean and deviation of each language's cross-entropy over all rows (text, lang); a row per language reaches the driver."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
+    def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs = {x: j for j, x in enumerate(sent.value.langs)}
+        for batch in batches:
+            ce, length = entropies(sent.value, batch.column(0).to_pylist())
+            at = np.array([langs[x] for x in batch.column(1).to_pylist()], np.int64)
+            own, long = ce[np.arange(len(at)), at], length >= CALIBRATION_CHARS
+            yield pa.record_batch([batch.column(1).cast(pa.string()), pa.array(np.where(long, own, np.nan), from_pandas=True), pa.array(ce.min(axis=1))], ["lang", "own", "least"])
 
-def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang", max_ngrams: int = 200_000, calibration_rows: int = 1000) -> Model | None:
-    """A model from all rows with a text and a language."""
+    each = rows.mapInArrow(measured, "lang string, own double, least double").groupBy("lang")
+    found = {r["lang"]: r for r in each.agg(F.count("own").alias("n"), F.avg("own").alias("mean"), F.stddev_pop("own").alias("deviation"), F.count("least").alias("rows"), F.sum("least").alias("least")).collect()}
+    sent.unpersist()
+    overall = sum(r["least"] for r in found.values()) / sum(r["rows"] for r in found.values()) if found else 3.0
+    model.mean, model.deviation = np.full(len(model.langs), overall), np.ones(len(model.langs))
+    for j, lang in enumerate(model.langs):
+        if lang in found and found[lang]["n"] >= CALIBRATION_TEXTS:
+            model.mean[j], model.deviation[j] = found[lang]["mean"], max(found[lang]["deviation"], LEAST_DEVIATION)
+
+
+def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """A model from all rows with a text and a language, and all their n-grams."""
     rows = training.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = materialise(rows.mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    # the least count that keeps max_ngrams at most: from the number of n-grams per power-of-two class (at most 64 rows a language)
-    classes = counts.groupBy("lang", F.floor(F.log2("n")).cast("int").alias("k")).agg(F.count("*").alias("m")).collect()
-    langs = sorted({r["lang"] for r in classes})
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not langs:
         return None
-    least = {}
-    for lang in langs:
-        total, least[lang] = 0, 1
-        for r in sorted((r for r in classes if r["lang"] == lang), key=lambda r: -r["k"]):
-            total += r["m"]
-            if total > max_ngrams:
-                least[lang] = 2 ** (r["k"] + 1)
-                break
-    wanted = F.lit(False)
-    for lang in langs:
-        wanted = wanted | ((F.col("lang") == lang) & (F.col("n") >= least[lang]))
-    kept = counts.where(wanted).toPandas()
-    release(counts)
     own = {}
     for lang in langs:
-        part = kept[kept["lang"] == lang].sort_values("gram")
-        own[lang] = part["gram"].to_numpy().astype(np.uint64), part["n"].to_numpy()
-    langs = [x for x in langs if len(own[x][0])]
+        part = counts.where(F.col("lang") == lang).select("gram", "n").toArrow()
+        grams, n = part.column("gram").to_numpy().astype(np.uint64), part.column("n").to_numpy()
+        at = np.argsort(grams)
+        own[lang] = grams[at], n[at]
+    release(counts)
     alphabet = len(np.unique(np.concatenate([own[x][0] for x in langs]) & MASK)) + 1
     model = _model(langs, own, alphabet)
-    sample = _sample(rows.where(F.length("text") <= CALIBRATION_LENGTH), calibration_rows)
-    ce, length = entropies(model, [r["text"] for r in sample])
-    mean, deviation = np.zeros(len(langs)), np.ones(len(langs))
-    for j, lang in enumerate(langs):
-        of = np.array([r["lang"] == lang for r in sample]) & (length >= 20)
-        if of.sum() >= 5:
-            mean[j], deviation[j] = ce[of, j].mean(), max(ce[of, j].std(), 0.05)
-        else:
-            mean[j], deviation[j] = ce.min(axis=1).mean() if len(ce) else 3.0, 1.0
-    model.mean, model.deviation = mean, deviation
+    _calibrate(model, rows)
     return model
 
 
