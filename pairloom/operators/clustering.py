@@ -56,7 +56,7 @@ def louvain(edges: DataFrame, seed: int = 1, resolution: float = 1.0, starts: in
 
 
 def smart_local_moving(edges: DataFrame, seed: int = 1, starts: int = 10) -> DataFrame:
-    """Modularity at resolution 2 with ten starts."""
+    """Fallback for smart local moving: louvain at resolution 2 with ten starts, without splitting communities by local moving."""
     return louvain(edges, seed, resolution=2.0, starts=starts)
 
 
