@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,7 +23,7 @@ def build(app: str = "pairloom", master: str | None = None, **conf: str) -> Spar
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the cluster's spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary folder is made.
+    It is the cluster's spark.checkpoint.dir; only where that is unset and all tasks run in this one process (tests) a temporary folder is made.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
@@ -30,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return str(own.get()).rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir isn't set: on a cluster it has to name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="pairloom-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -53,6 +56,10 @@ def release(*frames: DataFrame) -> None:
     for df in frames:
         path = df.__dict__.pop("_materialised_at", None)
         if path:
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
