@@ -1,35 +1,45 @@
 """WARC archives with an external index merge.
 
 Writing: each task sorts its captures by URL key, time and page, and writes them as gzip members, one per record, to archives in the shared
-folder; the index lines of an archive are then a sorted run.  Names are unique to the attempt, and an archive counts only through the index lines
-that Spark commits, so a task that is run again leaves nothing but an unused file.  Captures of an equal payload are revisits of the one with the
-smallest page id.
-
-Index: runs are dealt out by ranges of (key, time, page), so a URL that has a third of all captures is spread over many tasks; each task merges
-its parts of the runs with a loser tree.  The result is globally ordered.  Reading goes by the merged index: file, offset, length.
-
-Defined results: a null payload is empty; a null URL has the empty key; all rows that repeat the smallest page id with its payload are responses;
-null page ids come last and are responses only if no row with that payload has an id; no pages: no archives.
+folder, and their index lines, sorted as they are, to a run beside them.  Names are unique to the attempt, and a run counts only through the row
+that Spark commits for it, so a task that is run again leaves nothing but unused files.  Captures of an equal payload are revisits of the one with
+the smallest page id.
+
+Index: runs are merged from their files by loser trees of at most ``FAN_IN`` leaves, in rounds until so few runs are left; the last round merges
+ranges of (key, time, page) side by side, so a URL that has a third of all captures is spread over many tasks.  The ranges come from evenly spaced
+keys that each run's writer keeps (at most ``MARKS``).  A task holds one batch of ``RUN_BATCH`` lines of each of its runs, whatever their length.
+The result is globally ordered by partition and within each.  Reading goes by the merged index: file, offset, length.
+
+Defined results: a null payload is empty, a very long one is held whole by one task at a time; a null URL has the empty key; captures of one key and
+time follow their page ids, null ids last, and then their places in the archives; all rows that repeat the smallest page id with its payload are
+responses; null page ids are responses only if no row with that payload has an id; no pages: no archives, no rows.  Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import materialise, shared_dir
+from pairloom.llm.common import materialise, release, shared_dir
+from pairloom.session import remove
+from pairloom.sources.stores import absolute, file_system
 
 #: Bytes after which an archive is closed and the next begun; distinct repeated payloads up to which their table is broadcast.
 ARCHIVE_BYTES, BROADCAST_ROWS = 256_000_000, 500_000
+#: Runs that are merged at once; lines of a run that are held at once; keys that are kept of a run; lines of a range of the last round.
+FAN_IN, RUN_BATCH, MARKS, RANGE_LINES = 64, 500, 1_000, 100_000
+RUN = "folder string, run string, n_lines bigint, step bigint, marks array<string>"
+_LINE = pa.schema([("key", pa.string()), ("ts", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 INDEX = "key string, ts string, page_id bigint, url string, file string, offset bigint, length bigint"
 RECORD = "key string, ts string, page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
@@ -90,10 +100,6 @@ def _gzip(raw: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
-
-
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", ts: Column | None = None, min_revisit_bytes: int = 0) -> DataFrame:
     """Write every page as a record below ``folder``; returns the committed index, a sorted run per archive."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
@@ -106,14 +112,15 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     joined = own.withColumn("own_sha", F.when(F.length("payload") >= min_revisit_bytes, F.sha1("payload"))).join(F.broadcast(repeated) if few else repeated, F.col("own_sha") == F.col("sha"), "left")
     revisit = F.col("sha").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     captures = joined.select("key", "ts", "page_id", "url", "payload", F.when(revisit, F.col("first_id")).alias("refers_to"), revisit.alias("revisit"))
-    system, root = _file_system(folder)
+    folder = absolute(folder)
+    system, root = file_system(folder)
     system.create_dir(root, recursive=True)
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _file_system(folder)
+        store, base = file_system(folder)
+        run = RunWriter(folder)
         stream, name, at = None, "", 0
         for batch in batches:
-            lines: dict[str, list] = {c: [] for c in ("key", "ts", "page_id", "url", "file", "offset", "length")}
             for i in range(batch.num_rows):
                 key, when, page, url, body, refers, again = (c[i].as_py() for c in batch.columns)
                 if stream is None or at >= ARCHIVE_BYTES:
@@ -123,14 +130,85 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                     stream = store.open_output_stream(f"{base}/{name}", compression=None)
                 packed = _gzip(record(page, url, when, body, refers, again))
                 stream.write(packed)
-                for c, v in zip(lines, (key, when, page, url, name, at, len(packed)), strict=True):
-                    lines[c].append(v)
+                run.add((key, when, page, url, name, at, len(packed)))
                 at += len(packed)
-            yield pa.record_batch([pa.array(lines[c], pa.int64() if c in ("page_id", "offset", "length") else pa.string()) for c in lines], list(lines))
         if stream is not None:
             stream.close()
-
-    return materialise(captures.sortWithinPartitions("key", "ts", "page_id").mapInArrow(write, INDEX))
+        yield run.close()
+
+    runs = materialise(captures.sortWithinPartitions("key", "ts", F.col("page_id").asc_nulls_last()).mapInArrow(write, RUN))
+    release(repeated)
+    return runs
+
+
+def _order(line: tuple) -> tuple:
+    """What lines are ordered by; no two lines of an index are equal in it."""
+    key, ts, page, _, file, offset, _ = line
+    return key, ts or "", page is None, page or 0, file, offset
+
+
+class RunWriter:
+    """A sorted run of index lines in the shared folder, written batch by batch; the file is made with the first line."""
+
+    def __init__(self, folder: str):
+        self.folder, self.name, self.out = folder, f"{uuid.uuid4().hex}.run", None
+        self.held: list[tuple] = []
+        self.marks: list[tuple] = []
+        self.n, self.step = 0, 1
+
+    def add(self, line: tuple) -> None:
+        if self.n % self.step == 0:
+            if len(self.marks) == MARKS:
+                self.marks, self.step = self.marks[::2], 2 * self.step
+            if self.n % self.step == 0:
+                self.marks.append(_order(line))
+        self.held.append(line)
+        self.n += 1
+        if len(self.held) == RUN_BATCH:
+            self._flush()
+
+    def _flush(self) -> None:
+        if self.out is None:
+            store, base = file_system(self.folder)
+            self.stream = store.open_output_stream(f"{base}/{self.name}", compression=None)
+            self.out = pa.ipc.new_file(self.stream, _LINE)
+        self.out.write_batch(_lines(self.held))
+        self.held = []
+
+    def close(self) -> pa.RecordBatch:
+        """The row that commits the run; none for a run without lines."""
+        if self.held:
+            self._flush()
+        if self.out is not None:
+            self.out.close()
+            self.stream.close()
+        row = [(self.folder, self.name, self.n, self.step, [json.dumps(m) for m in self.marks])] if self.n else []
+        columns = [*zip(*row, strict=True)] or [()] * 5
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["folder", "run", "n_lines", "step", "marks"])
+
+
+def _lines(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _LINE, strict=True)], schema=_LINE)
+
+
+def run_lines(folder: str, run: str, low: tuple | None = None, high: tuple | None = None) -> Iterator[tuple[tuple, tuple]]:
+    """(order, line) of a run's lines from ``low`` up to but without ``high``, a batch at a time."""
+    store, base = file_system(folder)
+    with store.open_input_file(f"{base}/{run}") as raw:
+        own = pa.ipc.open_file(raw)
+
+        def first(k: int) -> tuple:
+            return _order(tuple(c[0].as_py() for c in own.get_batch(k).columns))
+
+        k = max(0, bisect_right(range(own.num_record_batches), low, key=first) - 1) if low is not None else 0
+        for b in range(k, own.num_record_batches):
+            for line in zip(*(c.to_pylist() for c in own.get_batch(b).columns), strict=True):
+                at = _order(line)
+                if high is not None and at >= high:
+                    return
+                if low is None or at >= low:
+                    yield at, line
 
 
 class LoserTree:
@@ -175,30 +253,75 @@ class LoserTree:
             self.losers[0] = winner
 
 
-def merge_runs(index: DataFrame) -> DataFrame:
-    """The index lines of all runs in global order of (key, ts, page_id, file, offset): by partition, and within each."""
+def _shorter(runs: DataFrame) -> DataFrame:
+    """A round: each ``FAN_IN`` runs become one."""
+    spark = runs.sparkSession
+    names = sorted((r["folder"], r["run"]) for r in runs.select("folder", "run").collect())
+    groups = [(names[k][0], [n for _, n in names[k : k + FAN_IN]]) for k in range(0, len(names), FAN_IN)]
 
     def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = pa.Table.from_batches([*batches]) if batches is not None else None
-        if lines is None or not lines.num_rows:
-            return
-        rows = {c: lines.column(c).to_pylist() for c in lines.column_names}
-        order = [(rows["key"][i], rows["ts"][i] or "", rows["page_id"][i] is None, rows["page_id"][i] or 0, rows["file"][i], rows["offset"][i]) for i in range(lines.num_rows)]
-        bounds = [0, *(i for i in range(1, lines.num_rows) if rows["file"][i] != rows["file"][i - 1]), lines.num_rows]
-        runs = [iter([(order[i], i) for i in range(a, b)]) for a, b in zip(bounds, bounds[1:], strict=False)]
-        taken = lines.take(pa.array([*LoserTree(runs)], pa.int64()))
-        yield from taken.combine_chunks().to_batches(max_chunksize=20_000)
+        for batch in batches:
+            for folder, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                run = RunWriter(folder)
+                for line in LoserTree([run_lines(folder, n) for n in own]):
+                    run.add(line)
+                yield run.close()
+
+    return materialise(spark.createDataFrame(groups, "folder string, runs array<string>").repartition(len(groups)).mapInArrow(merged, RUN))
+
+
+def _borders(runs: list, ranges: int) -> list[tuple]:
+    """Where ranges of about equal numbers of lines begin, by the runs' evenly spaced keys (the first begins before all)."""
+    marks = sorted((tuple(json.loads(m)), r["step"]) for r in runs for m in r["marks"])
+    total, seen, out = sum(n for _, n in marks), 0, []
+    for mark, n in marks:
+        if seen * ranges >= total * (len(out) + 1) and (not out or mark > out[-1]):
+            out.append(mark)
+        seen += n
+    return out
+
+
+def merge_runs(runs: DataFrame, ranges: int | None = None) -> DataFrame:
+    """The index lines of all runs in global order of (key, ts, page_id, file, offset): by partition, and within each.
+
+    The driver holds a row per run that is left after the rounds, at most ``FAN_IN``, and its names before them.
+    """
+    spark, own = runs.sparkSession, runs
+    while own.count() > FAN_IN:
+        after = _shorter(own)
+        if own is not runs:
+            release(own)
+        own = after
+    last = own.collect()
+    if own is not runs:
+        release(own)
+    if ranges is None:
+        ranges = max(-(-sum(r["n_lines"] for r in last) // RANGE_LINES), 2 * spark.sparkContext.defaultParallelism)
+    borders = [None, *_borders(last, ranges), None]
+    names = sorted((r["folder"], r["run"]) for r in last)
+
+    def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                held = []
+                for line in LoserTree([run_lines(*n, borders[k], borders[k + 1]) for n in names]):
+                    held.append(line)
+                    if len(held) == 5_000:
+                        yield _lines(held)
+                        held = []
+                if held:
+                    yield _lines(held)
 
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = index.repartitionByRange(parts, "key", "ts", F.col("page_id").asc_nulls_last(), "file", "offset")
-    return dealt.sortWithinPartitions("file", "key", "ts", F.col("page_id").asc_nulls_last(), "offset").mapInArrow(merged, INDEX)
+    n = len(borders) - 1
+    return spark.range(0, n, 1, n).mapInArrow(merged, INDEX)
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """The records that index lines point to, in the lines' order."""
+    folder = absolute(folder)
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _file_system(folder)
+        store, base = file_system(folder)
         for batch in batches:
             keys, times, _, urls, files, offsets, lengths = (c.to_pylist() for c in batch.columns)
             n = batch.num_rows
@@ -232,6 +355,12 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
-    """Write, merge the index, read back in capture order."""
-    folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    return read_records(merge_runs(write_archives(pages, folder, **options)), folder)
+    """Write, merge the index, read back in capture order.  Without a folder the archives are deleted once their records are read and written down."""
+    if folder is not None:
+        return read_records(merge_runs(write_archives(pages, folder, **options)), folder)
+    folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    runs = write_archives(pages, folder, **options)
+    found = materialise(read_records(merge_runs(runs), folder))
+    release(runs)
+    remove(pages.sparkSession, folder)
+    return found
