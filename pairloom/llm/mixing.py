@@ -7,15 +7,18 @@ earliest deadline goes first.  Releases and deadlines are exact (whole-number ar
 source's share of any prefix differs from its target by less than one block, however long.  Nothing is dropped or repeated.
 
 The schedule is worked out slot by slot on the driver, from the number of blocks of each source and never from rows, with memory for the sources
-only; it is written to the shared folder by chunks, as a table with a row per block.  Each bucket of rows (see below) is joined with the slots of
-its blocks, so rows are shuffled once.
-
-A source's order is found without sorting it in one task: rows go to buckets by their hash, buckets are summed, and positions are counted within
-buckets only.
-
-Defined results: null sources are one source of their own (named ''); null and empty texts count one byte; sources without a weight get that of
-the smallest weighted one; equal rows lie beside each other; an empty table gives an empty result.  Any number of sources will do: the driver
-holds a name and a few numbers of each, and what is broadcast are sources of several buckets only.
+only; it is written to the shared folder by chunks, as a table with a row per block.  Where blocks aren't given a size they have ``BLOCK_BYTES``, or as
+many more as keep the schedule within ``MAX_SLOTS`` slots.
+
+Places are worked out on a narrow table with a row per different (source, id, text): its hash, bytes and copies.  Such rows go to buckets by their
+hash, buckets are summed, and positions are counted within buckets only; blocks then meet their slots in a join.  The documents are joined with
+their places once, by the hash; their texts take part in no window.
+
+Defined results: null sources are one source of their own (named ''); null and empty texts count one byte; a very long text begins in one block and
+reaches over the slots of those it fills, which stay its source's; sources without a weight get that of the smallest weighted one; ties of the
+schedule go by name; equal rows are spread over the range of bytes that they have together; an empty table gives an empty result.  Columns of the
+new names in ``docs`` are kept, and the new ones are then led by underscores.  Any number of sources will do: the driver holds a name and a few
+numbers of each, and what is broadcast are sources of several buckets only.
 """
 
 from __future__ import annotations
@@ -32,9 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import shared_dir, unused_name
+from pairloom.llm.common import materialise, release, shared_dir, unused_name
+from pairloom.session import remove
 
-BLOCK_BYTES, PERIOD, BUCKET_ROWS = 65_536, 1000, 2_000
+#: Least bytes of a block, slots of a schedule at most where the size of blocks isn't given, and rows of the narrow table in a bucket.
+BLOCK_BYTES, MAX_SLOTS, BUCKET_ROWS = 65_536, 4_000_000, 20_000
 #: Slots of the schedule that are written at once.
 CHUNK_SLOTS = 500_000
 
@@ -74,8 +79,8 @@ def fluid_slots(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[t
             heapq.heappush(waiting, (after, k))
 
 
-def slot_table(spark: SparkSession, blocks: dict[str, int], weights: dict[str, float]) -> DataFrame:
-    """The schedule (slot_source, slot_block, slot), written by chunks to the shared folder."""
+def slot_table(spark: SparkSession, blocks: dict[str, int], weights: dict[str, float]) -> tuple[DataFrame, str]:
+    """The schedule (slot_source, slot_block, slot), written by chunks to the shared folder, and where."""
     path, slots, start = f"{shared_dir(spark)}/pairloom-{uuid.uuid4().hex}", fluid_slots(blocks, weights), 0
     while (chunk := [*islice(slots, CHUNK_SLOTS)]) or not start:
         columns = [pa.array([s for s, _ in chunk], "string"), pa.array([k for _, k in chunk], "int64"), pa.array(range(start, start + len(chunk)), "int64")]
@@ -83,111 +88,69 @@ def slot_table(spark: SparkSession, blocks: dict[str, int], weights: dict[str, f
         if not chunk:
             break
         start += len(chunk)
-    return spark.read.schema("slot_source string, slot_block bigint, slot bigint").parquet(path)
-
-
-# ---------------------------------------------------------------- a repeating schedule by rounded weights; no query uses it
-
-
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole shares of the period, at least 1 each, by largest remainder (ties by name)."""
-    total = sum(Fraction(w) for w in weights.values())
-    exact = {s: Fraction(w) / total * period for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    left = period - sum(out.values())
-    order = sorted(exact, key=lambda s: (-(exact[s] - int(exact[s])), s))
-    k = 0
-    while left > 0:
-        out[order[k % len(order)]] += 1
-        k, left = k + 1, left - 1
-    while left < 0:
-        s = max(out, key=lambda s: (out[s], s))
-        out[s], left = out[s] - 1, left + 1
-    return out
-
-
-def one_period(share: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in a period: earliest deadline first among released blocks (ties by name)."""
-    period = sum(share.values())
-    slots: dict[str, list[int]] = {s: [] for s in share}
-    released: list[tuple[int, str]] = []
-    waiting = [(0, s) for s in sorted(share)]  # (release of the next block, source)
-    heapq.heapify(waiting)
-    for now in range(period):
-        while waiting and waiting[0][0] <= now:
-            _, s = heapq.heappop(waiting)
-            heapq.heappush(released, (-(-(len(slots[s]) + 1) * period // share[s]), s))
-        _, s = heapq.heappop(released)
-        slots[s].append(now)
-        if len(slots[s]) < share[s]:
-            heapq.heappush(waiting, (len(slots[s]) * period // share[s], s))
-    return slots
-
-
-def schedule(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> dict[str, list[dict]]:
-    """For each source its phases: first block, first slot, slots of a period, and the period."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    out: dict[str, list[dict]] = {s: [] for s in left}
-    start = 0
-    while left:
-        share = shares({s: weights[s] for s in left}, max(period, 4 * len(left)))
-        slots = one_period(share)
-        size = sum(share.values())
-
-        def last(s: str, share=share, slots=slots, size=size) -> int:
-            return size * ((left[s] - 1) // share[s]) + slots[s][(left[s] - 1) % share[s]]
-
-        end = min(last(s) for s in left) + 1
-        for s in [*left]:
-            out[s].append({"first": blocks[s] - left[s], "base": start, "period": size, "slots": slots[s]})
-            left[s] -= end // size * share[s] + sum(x < end % size for x in slots[s])
-            if not left[s]:
-                del left[s]
-        start += end
-    return out
-
-
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, power: float = 0.5) -> DataFrame:
+    return spark.read.schema("slot_source string, slot_block bigint, slot bigint").parquet(path), path
+
+
+def places(groups: DataFrame, slots: DataFrame, block_bytes: int, parts: DataFrame) -> DataFrame:
+    """Where each row (key, origin, n_bytes, copies) of the narrow table begins: its start, and the block and slot of that."""
+    keyed = groups.join(F.broadcast(parts), groups["origin"] == parts["part_source"], "left")
+    # the bucket follows the hash's order, so positions by (bucket, hash) are positions by hash
+    where = F.floor((F.shiftrightunsigned("key", 33) * F.coalesce("part_count", F.lit(1))) / F.lit(1 << 31)).cast("bigint")
+    keyed = keyed.select("key", "origin", "n_bytes", "copies", where.alias("bucket"))
+    sums = keyed.groupBy("origin", "bucket").agg(F.sum("n_bytes").alias("total"))
+    before = Window.partitionBy("origin").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    offsets = sums.select(F.col("origin").alias("o"), F.col("bucket").alias("b"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("origin", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    within = keyed.withColumn("ahead", F.coalesce(F.sum("n_bytes").over(inside), F.lit(0)))
+    begun = within.join(offsets, (F.col("origin") == F.col("o")) & (F.col("bucket") == F.col("b"))).withColumn("start", F.col("offset") + F.col("ahead"))
+    begun = begun.withColumn("block", F.floor(F.col("start") / F.lit(block_bytes)).cast("bigint"))
+    met = begun.join(slots, (F.col("origin") == F.col("slot_source")) & (F.col("block") == F.col("slot_block")))
+    return met.select("key", "origin", "n_bytes", "copies", "start", "block", "slot")
+
+
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None, power: float = 0.5) -> DataFrame:
     """``docs`` with mix_slot (the slot of its block), mix_block (the block of its source) and mix_start (its place in the source, in bytes).
 
-    Reading by (mix_slot, mix_start) gives the mixture.  Without weights a source's weight is its size to the ``power``.  Columns of these names
-    in ``docs`` are kept; the new ones are then led by underscores.
+    Reading by (mix_slot, mix_start) gives the mixture.  Without weights a source's weight is its size to the ``power``.
     """
     spark = docs.sparkSession
-    names = {n: unused_name(docs, n) for n in ("mix_slot", "mix_block", "mix_start", "mix_source", "mix_hash", "mix_bytes", "mix_bucket", "mix_offset", "mix_key", "mix_part", "mix_name", "mix_first", "mix_slots")}
-    c = {k: F.col(v) for k, v in names.items()}
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    size = F.greatest(F.coalesce(F.octet_length(text_col), F.lit(1)), F.lit(1)).cast("bigint")
-    sizes = docs.groupBy(source.alias("s")).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows")).collect()
-    blocks = {r["s"]: -(-r["bytes"] // block_bytes) for r in sizes}
+    slot, block, start, key, origin, size = (unused_name(docs, n) for n in ("mix_slot", "mix_block", "mix_start", "mix_key", "mix_origin", "mix_bytes"))
+    text = F.col(f"`{text_col}`")
+    source = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
+    keyed = docs.withColumns({
+        origin: source,
+        key: F.xxhash64(source, F.col(f"`{id_col}`"), text),
+        size: F.greatest(F.coalesce(F.octet_length(text), F.lit(1)), F.lit(1)).cast("bigint"),
+    })
+    groups = materialise(keyed.groupBy(F.col(key).alias("key"), F.col(origin).alias("origin")).agg(F.sum(size).alias("n_bytes"), F.count("*").alias("copies")))
+    sizes = groups.groupBy("origin").agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("rows")).collect()
+    if block_bytes is None:
+        block_bytes = max(BLOCK_BYTES, -(-sum(r["bytes"] for r in sizes) // MAX_SLOTS))
+    blocks = {r["origin"]: -(-r["bytes"] // block_bytes) for r in sizes}
     if weights is None:
-        weights = {r["s"]: r["bytes"] ** power for r in sizes}
+        weights = {r["origin"]: r["bytes"] ** power for r in sizes}
     least = min((w for w in weights.values() if w > 0), default=1.0)
     weights = {s: weights[s] if weights.get(s, 0) > 0 else least for s in blocks}
-    slots = slot_table(spark, blocks, weights)
+    slots, slots_at = slot_table(spark, blocks, weights)
     # sources of several buckets, of which there are fewer than rows by BUCKET_ROWS; the others have one
-    buckets = sorted((r["s"], r["rows"] // BUCKET_ROWS) for r in sizes if r["rows"] >= 2 * BUCKET_ROWS)
-    parts = F.broadcast(spark.createDataFrame(buckets, f"{names['mix_name']} string, {names['mix_part']} bigint"))
-    keyed = docs.withColumns({names["mix_source"]: source, names["mix_hash"]: F.xxhash64(F.col(id_col), F.col(text_col)), names["mix_bytes"]: size})
-    keyed = keyed.join(parts, c["mix_source"] == c["mix_name"], "left").drop(names["mix_name"])
-    # the bucket follows the hash's order, so positions by (bucket, hash) are positions by hash
-    where = F.floor((F.shiftrightunsigned(c["mix_hash"], 33) * F.coalesce(c["mix_part"], F.lit(1))) / F.lit(1 << 31)).cast("bigint")
-    keyed = keyed.withColumn(names["mix_bucket"], where)
-    sums = keyed.groupBy(c["mix_source"].alias("s"), c["mix_bucket"].alias("b")).agg(F.sum(c["mix_bytes"]).alias("n"))
-    before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("s", "b", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("o"))
-    first, last = F.floor(F.col("o") / F.lit(block_bytes)), F.floor((F.col("o") + F.col("n") - 1) / F.lit(block_bytes))
-    held = offsets.select("s", "b", "o", F.explode(F.sequence(first, last)).alias("k")).join(slots, (F.col("s") == F.col("slot_source")) & (F.col("k") == F.col("slot_block")))
-    # the slots of a bucket's blocks, from its first block on
-    slots_of = F.transform(F.array_sort(F.collect_list(F.struct("k", "slot"))), lambda x: x["slot"])
-    offsets = held.groupBy("s", "b").agg(F.min("o").alias(names["mix_offset"]), F.min("k").alias(names["mix_first"]), slots_of.alias(names["mix_slots"]))
-    inside = Window.partitionBy(c["mix_source"], c["mix_bucket"]).orderBy(c["mix_hash"], F.col(id_col)).rowsBetween(Window.unboundedPreceding, -1)
-    within = keyed.withColumn(names["mix_key"], F.coalesce(F.sum(c["mix_bytes"]).over(inside), F.lit(0)))
-    placed = within.drop(names["mix_part"]).join(offsets, (c["mix_source"] == offsets["s"]) & (c["mix_bucket"] == offsets["b"]))
-    start = c["mix_offset"] + c["mix_key"]
-    placed = placed.withColumn(names["mix_start"], start).withColumn(names["mix_block"], F.floor(start / F.lit(block_bytes)).cast("bigint"))
-    slot = F.get(c["mix_slots"], (c["mix_block"] - c["mix_first"]).cast("int"))
-    return placed.select(*[F.col(f"`{x}`") for x in docs.columns], slot.alias(names["mix_slot"]), c["mix_block"], c["mix_start"])
+    several = sorted((r["origin"], r["rows"] // BUCKET_ROWS) for r in sizes if r["rows"] >= 2 * BUCKET_ROWS)
+    placed = materialise(places(groups, slots, block_bytes, spark.createDataFrame(several, "part_source string, part_count bigint")))
+    release(groups)
+    names = {x: unused_name(keyed, f"mix_at_{x}") for x in placed.columns}
+    c = {x: F.col(name) for x, name in names.items()}
+    own = [F.col(f"`{x}`") for x in docs.columns]
+    joined = keyed.join(placed.withColumnsRenamed(names), F.col(key) == c["key"])
+    long = placed.where((F.col("copies") > 1) & (F.floor((F.col("start") + F.col("n_bytes") - 1) / block_bytes) > F.col("block")))
+    if long.isEmpty():
+        remove(spark, slots_at)
+        return joined.select(*own, c["slot"].alias(slot), c["block"].alias(block), c["start"].alias(start))
+    # equal rows of more than a block: each takes one of their places by chance and its slot by its own block; what chance gave is written down
+    turn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), c["copies"])
+    begun = joined.select(*own, origin, (c["start"] + F.floor(turn * c["n_bytes"] / c["copies"]).cast("bigint")).alias(start))
+    begun = materialise(begun.withColumn(block, F.floor(F.col(start) / F.lit(block_bytes)).cast("bigint")))
+    names = {x: unused_name(begun, f"mix_{x}") for x in slots.columns}
+    met = begun.join(slots.withColumnsRenamed(names), (F.col(origin) == F.col(names["slot_source"])) & (F.col(block) == F.col(names["slot_block"])))
+    return met.select(*own, F.col(names["slot"]).alias(slot), F.col(block), F.col(start))
 
 
 def in_order(mixture: DataFrame, partitions: int) -> DataFrame:

@@ -86,8 +86,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairloom.llm.mixing import mixed
 
-    out = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return out.select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), "mix_block", "mix_start", "mix_slot")
+    # the size is taken before the mixture, so that no text is shuffled for it
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.octet_length("text").cast("long").alias("n_bytes"))
+    return mixed(docs).select("doc_id", "source", "n_bytes", "mix_block", "mix_start", "mix_slot")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,27 +281,6 @@ def test_toxicity(spark):
 # ---------------------------------------------------------------- 7
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.sampled_from("abcdefgh"), st.tuples(st.integers(0, 400), st.floats(0.05, 9)), min_size=1))
-def test_schedule_is_whole_and_within_a_block(sources):
-    blocks, weights = {s: n for s, (n, _) in sources.items()}, {s: w for s, (_, w) in sources.items()}
-    plan = mixing.schedule(blocks, weights, 50)
-    taken = {}
-    for s, phases in plan.items():
-        for k in range(blocks[s]):
-            p = [x for x in phases if x["first"] <= k][-1]
-            ahead = k - p["first"]
-            slot = p["base"] + p["period"] * (ahead // len(p["slots"])) + p["slots"][ahead % len(p["slots"])]
-            assert slot not in taken
-            taken[slot] = s
-    assert sorted(taken) == list(range(sum(blocks.values())))
-    share = mixing.shares(weights, 60)
-    slots = mixing.one_period(share)
-    for s in share:
-        for t in range(61):
-            assert abs(sum(x < t for x in slots[s]) - t * share[s] / 60) < 1
-
-
 def test_mixing_keeps_all_rows(spark):
     docs = docs_of(spark, [None if k == 3 else "word " * (k % 17) for k in range(200)] + ["same text"] * 5, [*range(200), 7, 7, 7, None, None]).withColumn("source", F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.col("source"))).withColumn("mix_slot", F.lit("mine"))
     out = mixing.mixed(docs, block_bytes=100)

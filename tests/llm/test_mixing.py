@@ -74,3 +74,36 @@ def test_thousands_of_sources(spark):
     assert len(out) == 6000
     blocks = {(r["source"], r["mix_block"]): r["mix_slot"] for r in out}
     assert len({r["source"] for r in out}) == 2500 and len(set(blocks.values())) == len(blocks) and None not in blocks.values()
+
+
+def test_copies_and_clashing_names(spark):
+    """A hot row that fills many blocks is spread over them; names of the plan's own columns may stand in the table."""
+    rows = [(7, "a", "x" * 50)] * 300 + [(k, "ab"[k % 2], "y" * (k % 90)) for k in range(200)] + [(900, None, None), (901, "", ""), (902, "b", "z" * 5000)]
+    docs = spark.createDataFrame([(*r, k, "s", k) for k, r in enumerate(rows)], "doc_id bigint, source string, text string, key int, s string, slot int").withColumnsRenamed({"slot": "mix_key"}).withColumnRenamed("key", "slot_block")
+    out = mixing.mixed(docs, block_bytes=128)
+    assert out.columns == [*docs.columns, "mix_slot", "mix_block", "mix_start"]
+    got = out.collect()
+    assert sorted(r["mix_key"] for r in got) == list(range(len(rows))) and all(r["mix_slot"] is not None for r in got)
+    hot = [r["mix_block"] for r in got if r["doc_id"] == 7]
+    assert len(set(hot)) > 70 and 100 < max(hot) - min(hot) <= 117  # 300 rows of 50 bytes in blocks of 128
+    slots = {}
+    for r in got:
+        slots.setdefault((r["source"] or "", r["mix_block"]), set()).add(r["mix_slot"])
+    assert all(len(x) == 1 for x in slots.values())
+    total = sum(len(t or "") or 1 for _, s, t in rows if s == "a")
+    assert max(r["mix_start"] for r in got if r["source"] == "a") < total
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_places_follow_each_other(spark, monkeypatch):
+    """Without repeated rows the places of a source are its documents end to end."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 15)
+    docs = spark.createDataFrame([(k, "ab"[k % 3 == 0], "w" * (1 + k * 31 % 200)) for k in range(400)], "doc_id bigint, source string, text string")
+    by = {}
+    for r in mixing.mixed(docs).collect():
+        by.setdefault(r["source"], []).append((r["mix_start"], len(r["text"])))
+    for own in by.values():
+        at = 0
+        for start, size in sorted(own):
+            assert start == at
+            at += size
