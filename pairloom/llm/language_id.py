@@ -1,47 +1,63 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Training counts the highest-order character n-grams of all training rows, per language; lower orders are Kneser-Ney continuation counts and so
-follow from the distinct higher-order n-grams.  Tasks add up their n-grams before anything is shuffled.  All distinct n-grams with their counts
-reach the driver, where probabilities and back-off weights are computed for all languages at once and kept as sorted arrays of hashes beside a row
-of log probabilities; the model is broadcast.  None is dropped, so the driver and each executor need room for the distinct n-grams times the
-languages, which grow with the variety of the texts and not with their rows.  Scoring looks each n-gram of a text up by binary search, backs off where it is unseen and takes the language of lowest
-cross-entropy per character.  A text whose cross-entropy is far beyond what texts of that language have (mean and deviation over all training
-rows) is flagged as rejected.
+Training counts the highest-order character n-grams of the training rows, per language; lower orders are Kneser-Ney continuation counts and so follow
+from the distinct n-grams of the next order.  Tasks add up their n-grams before anything is shuffled, and probabilities and back-off weights are
+worked out by joins and sums over the tables of distinct n-grams, so no task and no driver holds a language's n-grams to make its model; none is
+dropped.  A language's model is cut into pieces of about ``PIECE_ENTRIES`` entries by the last character, each a set of sorted arrays of n-gram
+codes beside their log probabilities or weights.  Models of up to ``HELD_BYTES`` in all are broadcast; beyond that a worker reads the pieces it needs
+from the shared folder, one at a time for each chunk of text, so what it holds doesn't grow with the model.
+
+Scoring looks each distinct n-gram of a chunk of texts up by binary search, backs off where it is unseen and takes the language of lowest
+cross-entropy per character.  A tenth of the training texts, chosen by their hashes, is kept out of the counts and only used for calibration (each
+different text once): a text whose cross-entropy is far beyond what texts of that language have by mean and deviation is flagged as rejected.  A
+language that would be left without counted texts counts them all.
 
 Texts are lower-cased; everything that isn't a letter becomes one space.  Defined results: null texts and texts without letters: ``und``, score
-0; ties: the first language by name; rows with a null language aren't learned from; no training rows: ``und`` for all.
+0; ties: the first language by name; rows with a null language aren't learned from; no training rows: ``und`` for all; repeated rows count as often
+in training as they are there, and get equal results; a very long text is scored whole and held once; an empty table gives an empty table.  Only the
+named columns are read; a column of the result's name leads to another name.
 """
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.dataset as ds
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import materialise, release, unused_name
+from pairloom.sources.stores import file_system
 
 ORDER, DISCOUNT = 4, 0.75
-#: Bits of a character code; four of them fit an unsigned 64-bit number with room for the order.
-BITS = 15
+#: Bits of a character's code; ORDER of them fill an unsigned 64-bit number.
+BITS = 16
 MASK = np.uint64((1 << BITS) - 1)
-#: Characters that are counted or scored at once.
-CHUNK = 4_000_000
+#: Characters that are counted or scored at once; entries of a piece of a model; bytes of all models up to which they are broadcast.
+CHUNK, PIECE_ENTRIES, HELD_BYTES = 4_000_000, 2_000_000, 256_000_000
+#: One training text in so many is kept for calibration.
+CALIBRATION_SHARE = 10
 #: Characters that a text needs to be calibrated on, texts that a language needs, and its least deviation.
 CALIBRATION_CHARS, CALIBRATION_TEXTS, LEAST_DEVIATION = 20, 5, 0.05
 _OTHER = re.compile(r"[\W\d_]+")
 
 
 def codes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all texts, each led by ORDER - 1 spaces, and where each begins.  The code of a character is its code point modulo 2^BITS."""
+    """Codes of all texts, each led by ORDER - 1 spaces, and where each begins.
+
+    A character's code is its code point; those beyond 16 bits share the private area, where no letters are.
+    """
     lead = " " * (ORDER - 1)
     parts = [lead + _OTHER.sub(" ", t.lower()).strip() + " " if t else "" for t in texts]
-    joined = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.uint64) & MASK
-    return joined, np.cumsum([0, *map(len, parts)])
+    joined = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+    if len(joined) and joined.max() >= 1 << BITS:
+        joined = np.where(joined >= 1 << BITS, 0xE000 + joined % 6400, joined)
+    return joined.astype(np.uint64), np.cumsum([0, *map(len, parts)])
 
 
 def grams_of(codes: np.ndarray, n: int) -> np.ndarray:
@@ -98,86 +114,134 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
+#: What an entry of a model is: the log probability of an n-gram (by n), the log weight of a context (CONTEXT + its length), or that of any unseen
+#: character.
+CONTEXT, UNSEEN = 10, 20
+
+
+def _low(gram: Column, n: int) -> Column:
+    """The last n characters."""
+    return gram.bitwiseAND(F.lit((1 << (BITS * n)) - 1))
+
+
+def model_entries(counts: DataFrame) -> DataFrame:
+    """(lang, kind, key, value) of all languages, from counts (lang, gram, n) of the highest order."""
+    spark = counts.sparkSession
+    alphabet = counts.select(_low(F.col("gram"), 1)).distinct().count() + 1  # and one for what is unseen
+    levels = {ORDER: counts.select("lang", "gram", F.col("n").cast("double").alias("n"))}
+    for n in range(ORDER - 1, 0, -1):  # continuation counts: distinct characters before
+        levels[n] = materialise(levels[n + 1].groupBy("lang", _low(F.col("gram"), n).alias("gram")).agg(F.count("*").cast("double").alias("n")))
+    parts, below = [], None
+    for n in range(1, ORDER + 1):
+        level = levels[n].withColumn("context", F.shiftrightunsigned("gram", BITS))
+        weights = level.groupBy("lang", "context").agg(F.sum("n").alias("total"), (DISCOUNT * F.count("*") / F.sum("n")).alias("weight"))
+        joined = level.join(weights, ["lang", "context"])
+        if below is None:
+            joined = joined.withColumn("base", F.lit(1.0 / alphabet))
+            parts.append(weights.select("lang", F.lit(UNSEEN).alias("kind"), F.col("context").alias("key"), F.ln(F.col("weight") / alphabet).alias("value")))
+        else:
+            joined = joined.withColumn("low", _low(F.col("gram"), n - 1)).join(below, ["lang", "low"])
+            parts.append(weights.select("lang", F.lit(CONTEXT + n - 1).alias("kind"), F.col("context").alias("key"), F.ln("weight").alias("value")))
+        p = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total") + F.col("weight") * F.col("base")
+        own = materialise(joined.select("lang", "gram", p.alias("p")))
+        parts.append(own.select("lang", F.lit(n).alias("kind"), F.col("gram").alias("key"), F.ln("p").alias("value")))
+        below = own.select("lang", F.col("gram").alias("low"), F.col("p").alias("base"))
+    entries = spark.createDataFrame([], "lang string, kind int, key bigint, value double")
+    for x in parts:
+        entries = entries.unionByName(x)
+    return entries
+
+
+class Piece:
+    """A part of a language's model: for each kind of entry the sorted codes and their values."""
+
+    def __init__(self, body: bytes | None):
+        self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        if body is None:  # no character falls to this piece
+            return
+        table = pa.ipc.open_file(io.BytesIO(body)).read_all()
+        kind = table.column("kind").to_numpy()
+        keys, values = table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy()
+        self.of = {int(k): (keys[kind == k], values[kind == k]) for k in np.unique(kind)}
+
+    def find(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are there, and the values of those that are."""
+        own, values = self.of.get(kind, (np.empty(0, np.uint64), np.empty(0)))
+        if not len(own):
+            return np.zeros(len(keys), bool), np.empty(0)
+        at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+        hit = own[at] == keys
+        return hit, values[at[hit]]
+
+
+def _packed(group: pa.Table) -> pa.Table:
+    """A piece's entries as one row (lang, piece, body)."""
+    kind, key = group.column("kind").to_numpy(), group.column("key").to_numpy().view(np.uint64)
+    order = np.lexsort((key, kind))
+    sorted_ = pa.table([kind[order], key[order].view(np.int64), group.column("value").to_numpy()[order].astype(np.float32)], ["kind", "key", "value"])
+    out = io.BytesIO()
+    with pa.ipc.new_file(out, sorted_.schema) as file:
+        file.write_table(sorted_)
+    return pa.table([pa.array([group.column("lang")[0].as_py()]), pa.array([group.column("piece")[0].as_py()], pa.int32()), pa.array([out.getvalue()], pa.binary())], ["lang", "piece", "body"])
+
+
 @dataclass
 class Model:
-    """Sorted n-gram hashes of each order, their log probabilities (a column per language), and log back-off weights of contexts."""
+    """Languages with the number of their models' pieces; the pieces themselves, or the folder that they are read from; what calibration found."""
 
     langs: list[str]
-    grams: list[np.ndarray]
-    logp: list[np.ndarray]
-    contexts: list[np.ndarray]
-    backoff: list[np.ndarray]
+    pieces: list[int]
+    folder: str
+    held: dict[tuple[str, int], bytes] | None = None
     mean: np.ndarray | None = None
     deviation: np.ndarray | None = None
-
-
-def _model(langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]], alphabet: int) -> Model:
-    """Interpolated Kneser-Ney over the union of all languages' n-grams, so one look-up serves every language."""
-    shift = np.uint64(BITS)
-    per: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for lang in langs:
-        keys, n = counts[lang]
-        levels = [(keys, n.astype(np.float64))]
-        for order in range(ORDER - 1, 0, -1):  # continuation counts: distinct characters before
-            low = levels[0][0] & np.uint64((1 << (BITS * order)) - 1)
-            unique, m = np.unique(low, return_counts=True)
-            levels.insert(0, (unique, m.astype(np.float64)))
-        per[lang] = levels
-    size = len(langs)
-    grams = [np.unique(np.concatenate([per[x][o][0] for x in langs])) for o in range(ORDER)]
-    contexts = [np.unique(g >> shift) for g in grams]
-    logp, backoff = [], []
-    lower = np.full((1, size), 1.0 / alphabet)
-    for o in range(ORDER):
-        g, c = grams[o], contexts[o]
-        # probability of the n-gram's shortened form, for each language, to interpolate with
-        if o:
-            short = g & np.uint64((1 << (BITS * o)) - 1)
-            base = np.exp(logp[o - 1])[np.searchsorted(grams[o - 1], short)]
-        else:
-            base = np.repeat(lower, len(g), 0)
-        p = np.empty((len(g), size))
-        b = np.zeros((len(c), size))
-        for j, lang in enumerate(langs):
-            keys, n = per[lang][o]
-            at = np.searchsorted(c, keys >> shift)
-            total = np.bincount(at, n, len(c))
-            kinds = np.bincount(at, minlength=len(c))
-            weight = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-            own = np.zeros(len(g))
-            own[np.searchsorted(g, keys)] = np.maximum(n - DISCOUNT, 0) / total[at]
-            where = np.searchsorted(c, g >> shift)
-            p[:, j] = own + weight[where] * base[:, j]
-            b[:, j] = np.log(weight)
-        logp.append(np.log(np.maximum(p, 1e-12)).astype(np.float32))
-        backoff.append(b.astype(np.float32))
-    return Model(langs, grams, logp, contexts, backoff)
-
-
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return at, sorted_keys[at] == keys
-
-
-def log_probabilities(model: Model, codes: np.ndarray, alphabet_floor: float = -12.0) -> np.ndarray:
-    """Log probability of the character at each position, a column per language."""
-    key = grams_of(codes, ORDER)
-    distinct, back = np.unique(key, return_inverse=True)  # far fewer than positions, and sorted: look-ups are cheap
-    out = np.zeros((len(distinct), len(model.langs)), np.float32)
-    rest = np.arange(len(distinct))
-    for o in range(ORDER - 1, -1, -1):
-        keys = distinct[rest] & np.uint64((1 << (BITS * (o + 1))) - 1)
-        at, hit = _find(model.grams[o], keys)
-        out[rest[hit]] += model.logp[o][at[hit]]
-        rest, keys = rest[~hit], keys[~hit]
-        if not len(rest):
-            break
-        if o:
-            at, seen = _find(model.contexts[o], keys >> np.uint64(BITS))
-            out[rest[seen]] += model.backoff[o][at[seen]]
-        else:
-            out[rest] += alphabet_floor
-    return out, back
+    open: dict[tuple[str, int], Piece] = field(default_factory=dict, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"open": {}}
+
+    def piece(self, lang: str, k: int) -> Piece:
+        if self.held is None:
+            store, path = file_system(self.folder)
+            rows = ds.dataset(path, filesystem=store, format="parquet").to_table(columns=["body"], filter=(ds.field("lang") == lang) & (ds.field("piece") == k))
+            return Piece(rows.column("body")[0].as_py() if rows.num_rows else None)
+        if (lang, k) not in self.open:
+            self.open[lang, k] = Piece(self.held.get((lang, k)))
+        return self.open[lang, k]
+
+
+def _language_log(model: Model, j: int, keys: np.ndarray) -> np.ndarray:
+    """Log probability of each n-gram's last character in one language."""
+    pieces = model.pieces[j]
+    value, level = np.zeros(len(keys)), np.zeros(len(keys), np.int8)
+    backoff, unseen = np.zeros((ORDER, len(keys))), 0.0
+    last, before = keys & MASK, (keys >> np.uint64(BITS)) & MASK
+    for k in range(pieces):
+        piece = model.piece(model.langs[j], k)
+        if UNSEEN in piece.of:
+            unseen = float(piece.of[UNSEEN][1][0])
+        rest = np.nonzero(last % np.uint64(pieces) == k)[0] if pieces > 1 else np.arange(len(keys))
+        for n in range(ORDER, 0, -1):
+            hit, values = piece.find(n, keys[rest] & np.uint64((1 << (BITS * n)) - 1))
+            value[rest[hit]], level[rest[hit]] = values, n
+            rest = rest[~hit]
+            if not len(rest):
+                break
+        # weights of the contexts, which end with the character before; only those of n-grams that aren't known whole are needed
+        rest = np.nonzero(before % np.uint64(pieces) == k)[0] if pieces > 1 else np.nonzero(level < ORDER)[0]
+        for n in range(1, ORDER):
+            hit, values = piece.find(CONTEXT + n, (keys[rest] >> np.uint64(BITS)) & np.uint64((1 << (BITS * n)) - 1))
+            backoff[n, rest[hit]] = values
+    value[level == 0] = unseen
+    for n in range(1, ORDER):
+        value += np.where(level <= n, backoff[n], 0.0)
+    return value
+
+
+def log_probabilities(model: Model, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of the distinct n-grams, a column per language, and the n-gram at each position."""
+    distinct, back = np.unique(grams_of(codes, ORDER), return_inverse=True)  # far fewer than positions, and sorted: look-ups are cheap
+    return np.stack([_language_log(model, j, distinct) for j in range(len(model.langs))], axis=1), back
 
 
 def entropies(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +262,7 @@ def entropies(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.nda
             for k in range(ORDER - 1):
                 lead[np.minimum(begun + k, len(codes) - 1)] = True
             for j in range(size):
-                column = logp[:, j].astype(np.float64)[back]
+                column = logp[:, j][back]
                 column[lead] = 0
                 run = np.concatenate([[0.0], np.cumsum(column)])
                 result[first:last, j] = -(run[starts[1:]] - run[starts[:-1]])
@@ -208,7 +272,7 @@ def entropies(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.nda
 
 
 def _calibrate(model: Model, rows: DataFrame) -> None:
-    """Mean and deviation of each language's cross-entropy over all rows (text, lang); a row per language reaches the driver."""
+    """Mean and deviation of each language's cross-entropy over different texts (text, lang); a row per language reaches the driver."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,35 +281,50 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
             ce, length = entropies(sent.value, batch.column(0).to_pylist())
             at = np.array([langs[x] for x in batch.column(1).to_pylist()], np.int64)
             own, long = ce[np.arange(len(at)), at], length >= CALIBRATION_CHARS
-            yield pa.record_batch([batch.column(1).cast(pa.string()), pa.array(np.where(long, own, np.nan), from_pandas=True), pa.array(ce.min(axis=1))], ["lang", "own", "least"])
+            yield pa.record_batch([batch.column(1).cast(pa.string()), batch.column(2), pa.array(np.where(long, own, np.nan), from_pandas=True)], ["lang", "digest", "own"])
 
-    each = rows.mapInArrow(measured, "lang string, own double, least double").groupBy("lang")
-    found = {r["lang"]: r for r in each.agg(F.count("own").alias("n"), F.avg("own").alias("mean"), F.stddev_pop("own").alias("deviation"), F.count("least").alias("rows"), F.sum("least").alias("least")).collect()}
+    each = rows.mapInArrow(measured, "lang string, digest bigint, own double").groupBy("lang", "digest").agg(F.min("own").alias("own"))
+    found = {r["lang"]: r for r in each.groupBy("lang").agg(F.count("own").alias("n"), F.avg("own").alias("mean"), F.stddev_pop("own").alias("deviation")).collect()}
     sent.unpersist()
-    overall = sum(r["least"] for r in found.values()) / sum(r["rows"] for r in found.values()) if found else 3.0
+    known = [r for r in found.values() if r["n"]]
+    overall = sum(r["mean"] * r["n"] for r in known) / sum(r["n"] for r in known) if known else 3.0
     model.mean, model.deviation = np.full(len(model.langs), overall), np.ones(len(model.langs))
     for j, lang in enumerate(model.langs):
         if lang in found and found[lang]["n"] >= CALIBRATION_TEXTS:
             model.mean[j], model.deviation[j] = found[lang]["mean"], max(found[lang]["deviation"], LEAST_DEVIATION)
 
 
-def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model from all rows with a text and a language, and all their n-grams."""
-    rows = training.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = materialise(rows.mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-    if not langs:
+def model_of(counts: DataFrame) -> Model | None:
+    """The models of all languages of counts (lang, gram, n), not yet calibrated."""
+    entries = materialise(model_entries(counts))
+    sizes = entries.groupBy("lang").agg(F.ceil(F.count("*") / PIECE_ENTRIES).cast("int").alias("pieces"), F.count("*").alias("n"))
+    found = sorted((r["lang"], r["pieces"], r["n"]) for r in sizes.collect())
+    if not found:
         return None
-    own = {}
-    for lang in langs:
-        part = counts.where(F.col("lang") == lang).select("gram", "n").toArrow()
-        grams, n = part.column("gram").to_numpy().astype(np.uint64), part.column("n").to_numpy()
-        at = np.argsort(grams)
-        own[lang] = grams[at], n[at]
+    cut = entries.join(sizes.select("lang", "pieces"), "lang").withColumn("piece", F.pmod(_low(F.col("key"), 1), F.col("pieces")).cast("int"))
+    packed = materialise(cut.select("lang", "piece", "kind", "key", "value").groupBy("lang", "piece").applyInArrow(_packed, "lang string, piece int, body binary"))
+    release(entries)
+    model = Model([x for x, _, _ in found], [n for _, n, _ in found], packed._materialised_at)
+    if 16 * sum(n for _, _, n in found) <= HELD_BYTES:
+        model.held = {(r["lang"], r["piece"]): bytes(r["body"]) for r in packed.collect()}
+        release(packed)
+    return model
+
+
+def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """Models from all rows with a text and a language, and all their n-grams."""
+    text, lang = F.col(f"`{text_col}`"), F.col(f"`{lang_col}`").cast("string")
+    rows = training.where(lang.isNotNull() & text.isNotNull()).select(text.alias("text"), lang.alias("lang"), F.xxhash64(text).alias("digest"))
+    kept = F.pmod(F.xxhash64(F.col("digest")), F.lit(CALIBRATION_SHARE)) == 0
+    alone = materialise(rows.groupBy("lang").agg(F.count_if(~kept).alias("counted")).where("counted = 0").select(F.col("lang").alias("alone")))
+    flagged = rows.withColumn("kept", kept)
+    if not alone.isEmpty():
+        flagged = rows.join(alone, rows["lang"] == alone["alone"], "left").withColumn("kept", kept & F.col("alone").isNull())
+    counts = materialise(flagged.where(~F.col("kept")).select("text", "lang").mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    model = model_of(counts)
     release(counts)
-    alphabet = len(np.unique(np.concatenate([own[x][0] for x in langs]) & MASK)) + 1
-    model = _model(langs, own, alphabet)
-    _calibrate(model, rows)
+    if model is not None:
+        _calibrate(model, flagged.where("kept").select("text", "lang", "digest"))
     return model
 
 
