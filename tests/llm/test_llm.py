@@ -240,24 +240,6 @@ def test_repeated_rows_stay_once(spark):
 # ---------------------------------------------------------------- 6
 
 
-def _distance_one(a, b):
-    if abs(len(a) - len(b)) > 1:
-        return False
-    if len(a) == len(b):
-        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
-    long, short = (a, b) if len(a) > len(b) else (b, a)
-    return any(long[:k] + long[k + 1 :] == short for k in range(len(long)))
-
-
-@settings(max_examples=400, deadline=None)
-@given(st.lists(st.text(alphabet="abc", min_size=3, max_size=8), min_size=1, max_size=6), st.text(alphabet="abc", min_size=4, max_size=9))
-def test_automaton_equals_distance(terms, word):
-    trie = toxicity.Trie({t: 0.9 for t in terms})
-    near = sorted(t for t in set(terms) if len(t) >= toxicity.FUZZY_LENGTH and (_distance_one(t, word) or t == word))
-    found = trie.within_one(word)
-    assert (found in near) if near else found is None
-
-
 def test_toxicity(spark):
     rng = random.Random(3)
     calm = [f"calm{k}" for k in range(300)]
