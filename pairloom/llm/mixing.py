@@ -39,7 +39,7 @@ from pairloom.llm.common import materialise, release, shared_dir, unused_name
 from pairloom.session import remove
 
 #: Least bytes of a block, slots of a schedule at most where the size of blocks isn't given, and rows of the narrow table in a bucket.
-BLOCK_BYTES, MAX_SLOTS, BUCKET_ROWS = 65_536, 4_000_000, 20_000
+BLOCK_BYTES, MAX_SLOTS, BUCKET_ROWS = 65_536, 4_000_000, 2_000
 #: Slots of the schedule that are written at once.
 CHUNK_SLOTS = 500_000
 
