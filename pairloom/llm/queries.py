@@ -175,26 +175,37 @@ FROM h JOIN g ON hex = ghex
 """
 
 def _op4_sql() -> str:
+    """All vectors are worked out here from the templates' and the files' texts."""
     from pairloom.llm import license_scan as s
 
-    idf, rows, unknown = s.notice_vectors()
     fold = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return rf"""
-WITH idf(term, idf) AS (VALUES {", ".join(f"('{t}', CAST({w!r} AS DOUBLE))" for t, w in sorted(idf.items()))}),
-notice(notice, licence, term, part) AS (VALUES {", ".join(f"({k}, '{x}', '{t}', CAST({w!r} AS DOUBLE))" for k, x, t, w in rows)}),
+WITH notice(template, licence, body) AS (VALUES {", ".join(f"({k}, '{x}', '{t.replace(chr(39), chr(39) * 2)}')" for k, (x, t) in enumerate(s.TEMPLATES))}),
+nt AS (SELECT template, licence, term, count(*) AS n FROM (SELECT template, licence, unnest(regexp_extract_all({fold.format("body")}, '{s.TERM}')) AS term FROM notice) GROUP BY ALL),
 f AS (SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || CAST(doc_id // 1000 AS VARCHAR) AS place,
-        CAST(doc_id AS VARCHAR) || '.txt' AS name, text FROM documents),
-u AS (SELECT doc_id, place, name, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_words, unnest(regexp_split_to_array({fold.format("text")}, '{s.UNIT_END}')) AS unit FROM f),
-k AS (SELECT * FROM u WHERE regexp_matches(unit, '{s.ANCHOR}')),
-t AS (SELECT unit, term, count(*) AS n FROM (SELECT unit, unnest(regexp_extract_all(unit, '{s.TERM}')) AS term FROM (SELECT DISTINCT unit FROM k)) GROUP BY unit, term),
-w AS (SELECT unit, t.term, n * coalesce(idf, CAST({unknown!r} AS DOUBLE)) AS w FROM t LEFT JOIN idf ON t.term = idf.term),
+        CAST(doc_id AS VARCHAR) || '.txt' AS name, {fold.format("text")} AS body FROM documents),
+held AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(body, '{s.TERM}')) AS term FROM f),
+df AS (SELECT term, count(doc_id) AS n FROM (SELECT DISTINCT term FROM nt) LEFT JOIN held USING (term) GROUP BY term),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / CAST(1 + n AS DOUBLE)) + 1 AS idf FROM df),
+tw AS (SELECT template, licence, nt.term, nt.n * idf AS w FROM nt JOIN idf ON nt.term = idf.term),
+tv AS (SELECT template, licence, term, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS part FROM tw),
+bare AS (SELECT doc_id, string_split(body, chr(10)) AS ls, body FROM f WHERE body IS NOT NULL),
+u AS (SELECT doc_id, 0 AS kind, unnest(regexp_split_to_array(body, '{s.UNIT_END}')) AS unit FROM bare
+  UNION ALL SELECT doc_id, 1, unnest(regexp_split_to_array(body, '{s.BLOCK_END}')) FROM bare
+  UNION ALL SELECT doc_id, 1, array_to_string(ls[i:i + 1], ' ') FROM (SELECT doc_id, ls, unnest(range(1, len(ls))) AS i FROM bare)
+  UNION ALL SELECT doc_id, 1, array_to_string(ls[i:i + 2], ' ') FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM bare)
+  UNION ALL SELECT doc_id, 2, body FROM bare),
+t AS (SELECT unit, term, count(*) AS n FROM (SELECT unit, unnest(regexp_extract_all(unit, '{s.TERM}')) AS term FROM (SELECT DISTINCT unit FROM u)) GROUP BY unit, term),
+w AS (SELECT unit, t.term, n * coalesce(idf, (SELECT avg(idf) FROM idf)) AS w FROM t LEFT JOIN idf ON t.term = idf.term),
 norms AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM w GROUP BY unit),
-dots AS (SELECT unit, notice, licence, sum(w * part) AS dot FROM w JOIN notice ON w.term = notice.term GROUP BY unit, notice, licence),
+dots AS (SELECT unit, template, licence, sum(w * part) AS dot FROM w JOIN tv ON w.term = tv.term GROUP BY unit, template, licence),
 sc AS (SELECT dots.unit, licence, round(dot / norm, 6) AS score FROM dots JOIN norms ON dots.unit = norms.unit),
 m AS (SELECT unit, licence, score FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, licence) AS r FROM sc WHERE score >= {s.THRESHOLD}) WHERE r = 1),
-h AS (SELECT doc_id, place, name, n_words, licence, score, len(regexp_extract_all(k.unit, '[^\x20\x09-\x0D]+')) AS words FROM k JOIN m ON k.unit = m.unit),
-o AS (SELECT doc_id, place, name, licence AS own_licence, score AS own_score, 2 * total >= n_words AS is_licence_file
-      FROM (SELECT *, sum(words) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) AS r FROM h) WHERE r = 1),
+h AS (SELECT doc_id, kind, licence, score, len(regexp_extract_all(u.unit, '[^ 	-]+')) AS words FROM u JOIN m ON u.unit = m.unit),
+b AS (SELECT doc_id, licence AS own_licence, score AS own_score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) AS r FROM h) WHERE r = 1),
+q AS (SELECT doc_id, sum(CASE WHEN kind = 0 THEN words ELSE 0 END) AS words, max(kind) AS widest FROM h GROUP BY doc_id),
+o AS (SELECT b.doc_id, place, name, own_licence, own_score, widest = 2 OR 2 * words >= len(regexp_extract_all(body, '[^ 	-]+')) AS is_licence_file
+      FROM b JOIN q ON b.doc_id = q.doc_id JOIN f ON b.doc_id = f.doc_id),
 d AS (SELECT place AS dir, own_licence AS dir_licence FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY own_score DESC, own_licence, place || '/' || name) AS r FROM o WHERE is_licence_file) WHERE r = 1)
 SELECT f.place || '/' || f.name AS path, own_licence, own_score, coalesce(is_licence_file, false) AS is_licence_file,
   coalesce(own_licence, dir_licence) AS licence, CASE WHEN own_licence IS NULL THEN dir END AS inherited_from
