@@ -1,15 +1,20 @@
 """Quality rules as a bitmask ledger.
 
-Each text is measured once and every rule evaluated once; a failed rule sets its bit.  The ledger (measurements and bits) is kept, and a policy
-is only a named, versioned mask of bits: applying another policy, or asking what a policy would do without one of its rules, is a bitwise
-aggregation over the ledger and reads no text again.
+Each text is measured once and every rule evaluated once; a failed rule sets its bit.  The ledger (ids, measurements and bits, without texts) is
+written down once, and a policy is only a named, versioned mask of bits: applying another policy, or asking what a policy would do without one of its
+rules, is a bitwise aggregation over the ledger and reads no text again.
 
-Defined results: null and empty texts have no words, all measures 0, and fail ``few_words``; repeated rows get equal rows; lines and words are
-those of the whole text whatever its length.  Only ``text_col`` is read, so extra columns and clashing names don't matter.
+Letters are those of any script (Unicode letters and their marks), capitals are upper-case letters of any script.
+
+Defined results: null and empty texts have no words, all measures 0, and fail ``few_words``; a measure that equals a limit doesn't fail it; repeated
+rows get equal rows; lines and words are those of the whole text whatever its length; an empty table gives an empty ledger, whose ablation is all 0.
+Only the named columns are read, so extra columns and clashing names don't matter.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
 from itertools import count
 
 import numpy as np
@@ -17,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import unused_name
+from pairloom.llm.common import materialise, unused_name
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper")
 LEDGER = "struct<" + ",".join(f"{m}:bigint" for m in MEASURES) + ">"
@@ -35,7 +40,7 @@ RULES: dict[str, tuple[int, str]] = {
 }
 BASE = ("few_words", "repeated_words")
 #: Versioned policies: the rules that reject.
-POLICIES: dict[str, tuple[str, ...]] = {"base-1": BASE, "strict-1": tuple(RULES)}
+POLICIES: dict[str, tuple[str, ...]] = {"base-1": BASE, "form-1": (*BASE, "symbols", "upper_case", "dup_lines"), "strict-1": tuple(RULES)}
 
 
 def mask(names: tuple[str, ...]) -> int:
@@ -46,11 +51,13 @@ _SPACE = np.zeros(128, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _SYMBOL = np.zeros(128, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-_UPPER = np.zeros(256, bool)
-_UPPER[[*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]] = True
-#: Letters of ASCII; everything beyond ASCII counts as a letter, whatever its script.
-_LETTER = np.zeros(128, bool)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+@cache
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Whether each code point is a letter (or its mark), and whether an upper-case one."""
+    kinds = np.array([unicodedata.category(chr(c)) for c in range(0x110000)])
+    return np.char.startswith(kinds, "L") | np.char.startswith(kinds, "M"), kinds == "Lu"
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -88,7 +95,7 @@ def measure(text: str | None) -> tuple[int, ...]:
     words = raw.split()  # ASCII white space: exactly 0x20 and 0x09-0x0D
     cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     low = cp[cp < 128]
-    latin = cp[cp < 256]
+    letter, upper = _classes()
     spaces = int(_SPACE[low].sum())
     lines, seen, dup = 0, set(), 0
     for line in raw.split(b"\n"):
@@ -98,7 +105,7 @@ def measure(text: str | None) -> tuple[int, ...]:
                 dup += 1
             else:
                 seen.add(line)
-    return (len(words), len(cp) - spaces, int(_SYMBOL[low].sum()), dup, repeated_words(words), lines, int(_LETTER[low].sum()) + len(cp) - len(low), int(_UPPER[latin].sum()))
+    return (len(words), len(cp) - spaces, int(_SYMBOL[low].sum()), dup, repeated_words(words), lines, int(letter[cp].sum()), int(upper[cp].sum()))
 
 
 def _measured(text: pa.Array) -> pa.Array:
@@ -120,10 +127,17 @@ def with_ledger(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str
     """``docs`` with its ledger: a struct of measures and the rule bits.  Narrow; returns the frame and the two names."""
     m = unused_name(docs, "quality_measures")
     b = unused_name(docs, "quality_bits")
-    out = docs.withColumn(m, F.arrow_udf(_measured, LEDGER).asNondeterministic()(F.col(text_col)))
+    out = docs.withColumn(m, F.arrow_udf(_measured, LEDGER).asNondeterministic()(F.col(f"`{text_col}`")))
     return out.withColumn(b, rule_bits(m)), m, b
 
 
+def stored_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger of ``docs`` written down: id, the measures, rule_bits; a row per row."""
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    ledger, m, bits = with_ledger(own)
+    return materialise(ledger.select("doc_id", *(F.col(f"{m}.{c}").alias(c) for c in MEASURES), F.col(bits).alias("rule_bits")))
+
+
 def passes(bits: str, policy: str = "strict-1") -> Column:
     """Whether a row of the ledger passes a policy."""
     return F.col(bits).bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0

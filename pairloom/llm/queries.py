@@ -19,15 +19,9 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairloom.llm import quality_rules as q
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger, m, bits = q.with_ledger(docs)
-    return ledger.select(
-        "doc_id",
-        *(F.col(f"{m}.{c}").alias(c) for c in q.MEASURES),
-        F.col(bits).alias("rule_bits"),
-        (~q.passes(bits, "base-1")).alias("base_failed"),
-        q.passes(bits, "strict-1").alias("kept"),
-    )
+    ledger = q.stored_ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept_by = F.concat_ws(",", *(F.when(q.passes("rule_bits", p), F.lit(p)) for p in q.POLICIES))
+    return ledger.select("*", (~q.passes("rule_bits", "base-1")).alias("base_failed"), q.passes("rule_bits", "strict-1").alias("kept"), F.lit("strict-1").alias("policy"), kept_by.alias("kept_by"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,8 +142,8 @@ m AS (
     CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
     CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
-    CAST(length(regexp_replace(text, '[^A-Za-z\x{80}-\x{10FFFF}]', '', 'g')) AS BIGINT) AS n_letters,
-    CAST(length(regexp_replace(text, '[^A-Z\x{C0}-\x{D6}\x{D8}-\x{DE}]', '', 'g')) AS BIGINT) AS n_upper
+    CAST(length(regexp_replace(text, '[^\p{L}\p{M}]', '', 'g')) AS BIGINT) AS n_letters,
+    CAST(length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS BIGINT) AS n_upper
   FROM w LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
 b AS (
   SELECT *, CAST((CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
@@ -158,7 +152,8 @@ b AS (
     + (CASE WHEN word_chars > 20 * n_words THEN 64 ELSE 0 END) + (CASE WHEN 2 * n_letters < word_chars THEN 128 ELSE 0 END) AS BIGINT) AS rule_bits
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_letters, n_upper, rule_bits,
-  (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, rule_bits = 0 AS kept
+  (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, rule_bits = 0 AS kept, 'strict-1' AS policy,
+  concat_ws(',', CASE WHEN rule_bits & 3 = 0 THEN 'base-1' END, CASE WHEN rule_bits & 31 = 0 THEN 'form-1' END, CASE WHEN rule_bits & 255 = 0 THEN 'strict-1' END) AS kept_by
 FROM b
 """
 
@@ -201,10 +196,12 @@ norms AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM w GROUP BY unit),
 dots AS (SELECT unit, template, licence, sum(w * part) AS dot FROM w JOIN tv ON w.term = tv.term GROUP BY unit, template, licence),
 sc AS (SELECT dots.unit, licence, round(dot / norm, 6) AS score FROM dots JOIN norms ON dots.unit = norms.unit),
 m AS (SELECT unit, licence, score FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, licence) AS r FROM sc WHERE score >= {s.THRESHOLD}) WHERE r = 1),
-h AS (SELECT doc_id, kind, licence, score, len(regexp_extract_all(u.unit, '[^ 	-]+')) AS words FROM u JOIN m ON u.unit = m.unit),
+h AS (SELECT doc_id, kind, licence, score, len(regexp_extract_all(u.unit, '[^ 	-
+]+')) AS words FROM u JOIN m ON u.unit = m.unit),
 b AS (SELECT doc_id, licence AS own_licence, score AS own_score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) AS r FROM h) WHERE r = 1),
 q AS (SELECT doc_id, sum(CASE WHEN kind = 0 THEN words ELSE 0 END) AS words, max(kind) AS widest FROM h GROUP BY doc_id),
-o AS (SELECT b.doc_id, place, name, own_licence, own_score, widest = 2 OR 2 * words >= len(regexp_extract_all(body, '[^ 	-]+')) AS is_licence_file
+o AS (SELECT b.doc_id, place, name, own_licence, own_score, widest = 2 OR 2 * words >= len(regexp_extract_all(body, '[^ 	-
+]+')) AS is_licence_file
       FROM b JOIN q ON b.doc_id = q.doc_id JOIN f ON b.doc_id = f.doc_id),
 d AS (SELECT place AS dir, own_licence AS dir_licence FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY own_score DESC, own_licence, place || '/' || name) AS r FROM o WHERE is_licence_file) WHERE r = 1)
 SELECT f.place || '/' || f.name AS path, own_licence, own_score, coalesce(is_licence_file, false) AS is_licence_file,

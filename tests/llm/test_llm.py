@@ -119,6 +119,30 @@ def test_quality_ledger(spark):
     assert quality_rules.ablation(ledger.limit(0), bits).agg(F.sum("failed")).first()[0] == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60) | st.text(alphabet="Aé日️★☐ñǅÉσ😀́ि", max_size=40))
+def test_letters_of_any_script(text):
+    import unicodedata
+
+    m = dict(zip(quality_rules.MEASURES, quality_rules.measure(text), strict=True))
+    kinds = [unicodedata.category(c) for c in text]
+    assert m["n_letters"] == sum(k[0] in "LM" for k in kinds) and m["n_upper"] == kinds.count("Lu")
+
+
+def test_policies_over_a_stored_ledger(spark):
+    """Boxes and stars aren't letters, words of other scripts are; policies and what rules do alone come from the ledger."""
+    texts = ["★☐😀 " * 60, " ".join(f"हिन्दी{chr(0x915 + k // 8)}{chr(0x915 + k % 8)}" for k in range(60)), None, " ".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)), "a b " * 30]
+    docs = spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(texts)] * 2, "key int, body string, rule_bits int, n_words string")
+    ledger = quality_rules.stored_ledger(docs, "key", "body")
+    kept = {p: sorted(r["doc_id"] for r in ledger.where(quality_rules.passes("rule_bits", p)).collect()) for p in quality_rules.POLICIES}
+    assert kept["strict-1"] == [1, 1, 3, 3] and ledger.count() == 10
+    few = {r["doc_id"]: r["rule_bits"] >> 7 & 1 for r in ledger.collect()}
+    assert few == {0: 1, 1: 0, 2: 0, 3: 0, 4: 0}
+    table = {r["rule"]: (r["failed"], r["only_this"]) for r in quality_rules.ablation(ledger, "rule_bits", "form-1").collect()}
+    assert set(table) == set(quality_rules.POLICIES["form-1"]) and table["few_words"] == (2, 2)
+    assert quality_rules.stored_ledger(docs.limit(0), "key", "body").count() == 0
+
+
 # ---------------------------------------------------------------- 3
 
 
