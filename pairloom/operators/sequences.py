@@ -40,11 +40,13 @@ _PAIR = str.maketrans("ACGTRYSWKMBDHVN", "TGCAYRSWMKVHDBN")
 
 
 def enzyme(name: str) -> Enzyme:
-    """The enzyme of exactly this name; the error names similar ones."""
-    if name not in ENZYMES:
-        similar = [n for n in ENZYMES if difflib.SequenceMatcher(None, n.lower(), name.lower()).ratio() >= 0.8]
-        raise UnknownEnzymeException(name, sorted(similar))
-    return ENZYMES[name]
+    """The enzyme of exactly this name, or one given by its site with the cut marked, as in ``G^ANTC``; the error names similar ones."""
+    if name in ENZYMES:
+        return ENZYMES[name]
+    if "^" in name and valid_site(site := name.upper().replace("^", "", 1)):
+        return Enzyme(name, site, name.index("^"))
+    similar = [n for n in ENZYMES if difflib.SequenceMatcher(None, n.lower(), name.lower()).ratio() >= 0.8]
+    raise UnknownEnzymeException(name, sorted(similar))
 
 
 def _pattern(site: str) -> str:
@@ -90,12 +92,13 @@ def fragment_count(length: Column, size: int, threshold: float = 0.333, integer_
 
 
 def split_fragments(sequences: DataFrame, size: int = 10_000, threshold: float = 0.333, integer_division: bool = False) -> DataFrame:
-    """(frag_id, seq_name, start, end, seq): near-equal pieces named ``<id>.<start>_<end>``."""
+    """(frag_id, seq_name, start, end, seq): near-equal pieces named ``<id>.<start>_<end>``; a column ``seq_no`` of the sequences is kept."""
     n = fragment_count(F.col("length"), size, threshold, integer_division)
-    rows = sequences.select("seq_name", "seq", "length", n.alias("n")).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    kept = [c for c in ("seq_no",) if c in sequences.columns]
+    rows = sequences.select("seq_name", "seq", "length", *kept, n.alias("n")).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
     rows = rows.withColumn("start", edge(F.col("k"), F.col("n"), F.col("length"))).withColumn("end", edge(F.col("k") + 1, F.col("n"), F.col("length")))
     name = F.concat("seq_name", F.lit("."), F.col("start").cast("string"), F.lit("_"), F.col("end").cast("string"))
-    return rows.select(name.alias("frag_id"), "seq_name", "start", "end", F.substring("seq", F.col("start") + 1, F.col("end") - F.col("start")).alias("seq"))
+    return rows.select(name.alias("frag_id"), "seq_name", *kept, "start", "end", F.substring("seq", F.col("start") + 1, F.col("end") - F.col("start")).alias("seq"))
 
 
 def split_stats(sequences: DataFrame, fragments: DataFrame) -> DataFrame:

@@ -20,19 +20,23 @@ def _records(text: DataFrame) -> DataFrame:
     header = F.regexp_replace(F.split(body, "\n", 2)[0], r"\s+$", "")
     rest = F.coalesce(F.try_element_at(F.split(body, "\n", 2), F.lit(2)), F.lit(""))
     seq = F.regexp_replace(rest, r"\s", "")
-    rows = text.where(F.length(F.trim("value")) > 0).select(header.alias("description"), seq.alias("seq"))
-    return rows.select(F.split("description", r"\s")[0].alias("seq_name"), "description", "seq", F.length("seq").alias("length"))
+    kept = [c for c in ("seq_no",) if c in text.columns]
+    rows = text.where(F.length(F.trim("value")) > 0).select(header.alias("description"), seq.alias("seq"), *kept)
+    return rows.select(F.split("description", r"\s")[0].alias("seq_name"), "description", "seq", F.length("seq").alias("length"), *kept)
 
 
-def read_fasta(spark: SparkSession, path: str, min_len: int | None = None, check_names: bool = False) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, min_len: int | None = None, check_names: bool = False, numbered: bool = False) -> DataFrame:
     """(seq_name, description, seq, length), plain or compressed; records are the rows, so plain files split and load in parallel.
 
-    ``check_names`` looks for names that occur twice and raises.
+    ``check_names`` looks for names that occur twice and raises; ``numbered`` adds seq_no, which grows along the file.
     """
     if path.lower().endswith((".gz", ".bz2")) and not path.endswith((".gz", ".bz2")):
         out = _odd_suffix(spark, path)
     else:
-        out = _records(spark.read.option("lineSep", "\n>").text(path))
+        rows = spark.read.option("lineSep", "\n>").text(path)
+        # where a split begins and the row within it: numbers grow along the file without a pass over it
+        place = (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("seq_no")
+        out = _records(rows.select("value", place) if numbered else rows)
     if min_len:
         out = out.where(F.col("length") >= min_len)
     if check_names and not out.groupBy("seq_name").count().where("count > 1").isEmpty():
@@ -63,7 +67,8 @@ def fasta_text(records: DataFrame, order: list[str]) -> DataFrame:
 
 
 def write_fragments(fragments: DataFrame, path: str, clobber: bool = False, compression: str | None = None) -> None:
-    """Fragments as FASTA in the order of their sequences; an existing target is an error unless ``clobber``."""
-    rows = fragments.select("seq_name", "start", F.col("frag_id").alias("record_id"), F.lit("").alias("description"), "seq")
-    writer = fasta_text(rows, ["seq_name", "start"]).write.mode("overwrite" if clobber else "error")
+    """Fragments as FASTA in the order of their sequences' numbers (by name if they have none); an existing target is an error unless ``clobber``."""
+    by = "seq_no" if "seq_no" in fragments.columns else "seq_name"
+    rows = fragments.select(by, "start", F.col("frag_id").alias("record_id"), F.lit("").alias("description"), "seq")
+    writer = fasta_text(rows, [by, "start"]).write.mode("overwrite" if clobber else "error")
     (writer.option("compression", compression) if compression else writer).text(path)

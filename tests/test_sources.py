@@ -51,6 +51,39 @@ def test_bam(spark, tmp_path):
         bam.bam_references(spark, path)
 
 
+def long_records(rng, n, sizes):
+    """Raw records with bases and qualities, and now and then a read of one of the sizes."""
+    body, names = b"", []
+    for k in range(n):
+        bases = sizes[k] if k in sizes else rng.randrange(0, 60)
+        name, ops = f"read{k}".encode(), struct.pack("<I", bases << 4) if bases else b""
+        own = struct.pack("<iiBBHHHiiii", k % 3, 10 * k, len(name) + 1, 60, 0, bool(bases), 0, bases, -1, -1, 0) + name + b"\0" + ops
+        own += bytes(rng.choices(b"\x11\x12\x48\x84", k=(bases + 1) // 2)) + bytes(rng.choices(range(42), k=bases))
+        body += struct.pack("<i", len(own)) + own
+        names.append(name.decode())
+    return body, names
+
+
+@pytest.mark.parametrize("search", [4 << 20, 3000])
+def test_splits_of_long_reads_lose_nothing(tmp_path, monkeypatch, search):
+    """Splits that lie within a read, hold only its tail, or begin with it; also where no first record is found and records are counted."""
+    monkeypatch.setattr(bam, "SEARCH_BYTES", search)
+    rng = random.Random(5)
+    head = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 3) + b"".join(struct.pack("<i", 2) + x + b"\0" + struct.pack("<i", 10**6) for x in (b"a", b"b", b"c"))
+    for sizes in ({3: 300_000, 400: 90_000}, {599: 200_000}, {0: 150_000}):
+        body, names = long_records(rng, 600, sizes)
+        raw = head + body
+        path = str(tmp_path / f"{len(raw)}-{search}.bam")
+        open(path, "wb").write(b"".join(block(raw[k : k + 5000]) for k in range(0, len(raw), 5000)) + block(b""))
+        whole = [r for b in bam._Reader(path, 1 << 30).read(bam._Reader(path, 1 << 30).partitions()[0]) for r in b.to_pylist()]
+        assert [r["qname"] for r in whole] == names
+        for size in (2000, 7777, 60_000):
+            reader = bam._Reader(path, size)
+            parts = reader.partitions()
+            assert len(parts) > 2
+            assert [r for p in parts for b in reader.read(p) for r in b.to_pylist()] == whole
+
+
 def test_sam(spark, tmp_path):
     path = str(tmp_path / "x.sam")
     open(path, "w").write("@HD\tVN:1.6\tSO:queryname\n@SQ\tSN:a\tLN:500\n@SQ\tSN:b\tLN:600\nr1\t0\tb\t11\t60\t10M2S\t*\t0\t0\t*\t*\nr1\t4\t*\t0\t0\t*\t*\t0\t0\t*\t*\n")
@@ -96,6 +129,39 @@ def test_cluster_fasta(spark, tmp_path):
         bundle.write_cluster_fasta(report.fasta_records(members, clusters, dim, seqs), out)
 
 
+def test_relative_paths_and_stores(spark, tmp_path, monkeypatch):
+    """Plain relative paths, as in the README, and URIs as Spark writes them."""
+    from pairloom.sources import stores
+
+    monkeypatch.chdir(tmp_path)
+    assert stores.absolute("x/y") == f"file://{tmp_path}/x/y" == stores.absolute(f"file:{tmp_path}/x/y") == stores.absolute(f"file://{tmp_path}/x/y")
+    assert stores.absolute("s3a://bucket/x") == "s3://bucket/x" and stores.file_system("a%20b#c")[1] == f"{tmp_path}/a%20b#c"
+    open("r.bam", "wb").write(bam_bytes([("a", 5000)], [("q", 0, 0, 1, 60, [(0, 30)])]))
+    assert bam.bam_references(spark, "r.bam").count() == 1 and bam.read_bam(spark, "r.bam").count() == 1
+    rows = spark.createDataFrame([("CL1", 1, "CL1_1", "d", "ACGT")], "name string, rank int, record_id string, description string, seq string")
+    assert bundle.write_cluster_fasta(rows, "out/fasta") == 1 and open("out/fasta/CL1.fna").read() == ">CL1_1 d\nACGT\n"
+
+
+def test_fragments_keep_the_order_of_the_file(spark, tmp_path):
+    path = str(tmp_path / "x.fa")
+    open(path, "w").write("".join(f">{n}\n{'ACGT' * 5}\n" for n in ("zz", "b", "a10", "a9")))
+    assert cli.main(["split", "-s", "10", path]) == 0
+    heads = [r["value"] for r in spark.read.text(f"{path}.split").where("value LIKE '>%'").collect()]
+    assert [h.split(".")[0] for h in heads] == [">zz", ">zz", ">b", ">b", ">a10", ">a10", ">a9", ">a9"]
+
+
+def test_sites_and_communities(spark, tmp_path):
+    from pairloom.operators import sequences
+
+    assert sequences.enzyme("G^ANTC").site == "GANTC" and sequences.enzyme("g^antc").cut == 1 and sequences.enzyme("HinfI").site == "GANTC"
+    # the heaviest edge of a is its loop, so a belongs to no further community; z has a loop only
+    open(tmp_path / "e", "w").write("a a 5\na b 1\nb c 2\nc d 9\na x 4\nx y 9\nz z 50\n")
+    for flag, has_z in (("--no-isolates", False), ("--ragbag", True)):
+        assert cli.main(["communities", "--ifmt", "edgelist", "--otype", "maxaff", flag, str(tmp_path / "e"), str(tmp_path / f"o{flag}")]) == 0
+        lines = [r["value"].split() for r in spark.read.text(str(tmp_path / f"o{flag}")).collect()]
+        assert sum("a" in x for x in lines) == 1 and any("z" in x for x in lines) == has_z
+
+
 def test_command_line(spark, tmp_path):
     rng = random.Random(2)
     names = [f"NODE_{k}_length_{3000}_cov_{k}.5" for k in range(12)]
@@ -112,6 +178,9 @@ def test_command_line(spark, tmp_path):
     assert sorted(tuple(r) for r in clusters.select("name", "size", "extent").collect()) == [("CL1", 4, 12000), ("CL2", 4, 12000), ("CL3", 4, 12000)]
     table = spark.read.option("header", True).csv(str(tmp_path / "out/cluster_report.csv"))
     assert table.count() == 3 and "cov_std" in table.columns
-    assert spark.read.parquet(str(tmp_path / "out/cluster_tiles")).select(F.max("i")).first()[0] == 11
+    # a map with bins shows its bins: three of each contig
+    assert spark.read.parquet(str(tmp_path / "out/cluster_tiles")).select(F.max("i")).first()[0] == 35
+    ticks = spark.read.parquet(str(tmp_path / "out/cluster_ticks")).sort("tick").collect()
+    assert [r["tick"] for r in ticks] == [0, 12, 24, 36]
     assert cli.main(["split", "-s", "1000", str(tmp_path / "x.fa")]) == 0
     assert fasta.count_records(spark, str(tmp_path / "x.fa.split")) == 36
