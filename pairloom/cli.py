@@ -98,7 +98,7 @@ def cluster(spark, args) -> None:
 
 
 def split(spark, args) -> None:
-    seqs = fasta.read_fasta(spark, args.FASTA)
+    seqs = fasta.read_fasta(spark, args.FASTA, numbered=True)
     pieces = sequences.split_fragments(seqs, args.size, args.threshold)
     fasta.write_fragments(pieces, args.OUT or f"{args.FASTA}.split", args.clobber)
     log.info("%s", sequences.split_stats(seqs, pieces).first().asDict())
@@ -108,15 +108,17 @@ def communities(spark, args) -> None:
     edges = clusterings.read_edges(spark, args.IN) if args.ifmt == "edgelist" else clusterings.read_graphml(spark, args.IN)
     edges = session.materialise(edges)
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    partition = session.materialise(clustering.louvain(edges))
-    if args.no_isolates:
-        partition = partition.join(graph.isolates(nodes, edges), "node", "left_anti")
-    elif args.ragbag:
+    kept = edges
+    if args.no_isolates or args.ragbag:  # before the search: loops of isolates would count in the whole graph's weight
+        alone = graph.isolates(nodes, edges).withColumnRenamed("node", "u")
+        kept = session.materialise(edges.join(alone, "u", "left_anti").select("u", "v", "weight"))
+    partition = session.materialise(clustering.louvain(kept))
+    if args.ragbag:
         partition = graph.with_ragbag(partition, nodes, edges)
     if args.otype == "hard":
         found = partition.select(F.col("cl").alias("comm"), "node", F.lit(1.0).alias("strength"))
     else:
-        found = graph.soft_membership(edges.where("u <> v"), partition, "simple" if args.otype == "soft" else "maxaff")
+        found = graph.soft_membership(kept, partition, "simple" if args.otype == "soft" else "maxaff")
     if args.ofmt == "mcl":
         clusterings.write_lines(clusterings.community_lines(found), args.OUT)
     else:

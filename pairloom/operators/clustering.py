@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pairloom.operators import graph as g
 from pairloom.operators.components import connected_components
 from pairloom.operators.local_search import search
-from pairloom.session import materialise
+from pairloom.session import materialise, release
 
 METHODS = ("infomap", "louvain", "mcl", "slm", "simap")
 
@@ -117,6 +117,7 @@ def mcl(edges: DataFrame, inflation: float = 1.2, prune: float = 1e-4, max_iter:
         after = materialise(mcl_step(m, inflation, prune))
         old = m.select("i", "j", F.col("w").alias("before"))
         change = after.join(old, ["i", "j"], "full").agg(F.max(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))))).first()[0]
+        release(m)
         m = after
         if change is None or change < tol:
             break

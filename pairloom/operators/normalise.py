@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.scalar import mean_of
-from pairloom.session import materialise
+from pairloom.session import materialise, release
+
+#: Cells of a map (12 to 24 bytes each) up to which its factors are sought on the driver; they are counted first.
+LOCAL_CELLS = 4_000_000
 
 
 def site_floor(sites: Column) -> Column:
@@ -68,28 +73,54 @@ def residual(work: DataFrame, x: DataFrame) -> DataFrame:
     return x.join(times(work, x), "ix").agg(F.sum(off * off).alias("residual"))
 
 
-def balance(matrix: DataFrame, contigs: DataFrame, tol: float = 1e-6, max_iter: int = 1000) -> tuple[DataFrame, DataFrame, int]:
-    """The bistochastic form of a symmetric map: (scaled original, scale (ix, x), steps).
+def _local_factors(work: DataFrame, tol: float, max_iter: int) -> tuple[DataFrame, int]:
+    """The factors of a map of few cells: the same steps as of a large one, in memory."""
+    cells = work.select("i", "j", "w").toArrow()
+    ix, at = np.unique(cells.column("i").to_numpy(), return_inverse=True)
+    to, w = np.searchsorted(ix, cells.column("j").to_numpy()), cells.column("w").to_numpy()
+    x = 1 / np.sqrt(np.bincount(at, w, len(ix)))
+    for step in range(max_iter + 1):
+        y = np.bincount(at, w * x[to], len(ix))
+        left = float(((1 - x * y) ** 2).sum())
+        if not math.isfinite(left):
+            raise RuntimeError("balancing diverged")
+        if left <= tol * tol:
+            made = work.sparkSession.createDataFrame(pa.table([pa.array(ix, pa.int64()), pa.array(x, pa.float64())], ["ix", "x"]))
+            return materialise(made.select(F.col("ix").cast(work.schema["i"].dataType).alias("ix"), "x")), step
+        x = np.sqrt(x / y)
+    raise RuntimeError(f"balancing didn't reach {tol} in {max_iter} steps")
 
-    Zero diagonals count as 1 while the factors are sought, so the solution is unique; the original is scaled.  Each step is one join and one
-    sum over the map and gives its residual with the next vector; vectors are written to the shared folder, so the plan doesn't grow.
-    """
-    work = materialise(working_copy(matrix, contigs).repartition("i"))
+
+def _factors(work: DataFrame, tol: float, max_iter: int) -> tuple[DataFrame, int]:
+    """The factors by joins: each step is one join and one sum over the map and gives its residual with the next vector."""
     x = materialise(start_vector(work))
     for step in range(max_iter + 1):
         off = 1 - F.col("x") * F.col("y")
         after = materialise(x.join(times(work, x), "ix").select("ix", "x", F.sqrt(F.col("x") / F.col("y")).alias("next"), (off * off).alias("off")))
         left = after.agg(F.sum("off")).first()[0]
-        if left is None:
-            return scaled(matrix, x), x, step
-        if not math.isfinite(left):
+        if left is not None and not math.isfinite(left):
             raise RuntimeError("balancing diverged")
-        if left <= tol * tol:
-            return scaled(matrix, x), x, step
+        if left is None or left <= tol * tol:
+            release(after)
+            return x, step
+        release(x)
         x = after.select("ix", F.col("next").alias("x"))
+        x._materialised_at = after._materialised_at
     raise RuntimeError(f"balancing didn't reach {tol} in {max_iter} steps")
 
 
+def balance(matrix: DataFrame, contigs: DataFrame, tol: float = 1e-6, max_iter: int = 1000) -> tuple[DataFrame, DataFrame, int]:
+    """The bistochastic form of a symmetric map: (scaled original, scale (ix, x), steps).
+
+    Zero diagonals count as 1 while the factors are sought, so the solution is unique; the original is scaled.  Maps of up to ``LOCAL_CELLS`` cells
+    are counted and balanced in memory; larger ones by joins, with vectors in the shared folder (the last is kept, so the plan doesn't grow).
+    """
+    work = materialise(working_copy(matrix, contigs).repartition("i"))
+    x, steps = (_local_factors if work.count() <= LOCAL_CELLS else _factors)(work, tol, max_iter)
+    release(work)
+    return scaled(matrix, x), x, steps
+
+
 def scaled_to_max(matrix: DataFrame) -> DataFrame:
     """Cells divided by the largest, the diagonal included."""
     top = matrix.agg(F.max("w").alias("top"))

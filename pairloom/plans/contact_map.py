@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +23,9 @@ class ContactMap:
     params: MapParams
     tip_map: DataFrame | None = None
     extent: DataFrame | None = None
+    #: Processed maps by how they were made, and the last balancing's factors (ix, x).
+    made: dict[tuple, DataFrame] = field(default_factory=dict, repr=False)
+    scale: DataFrame | None = None
 
     @classmethod
     def from_frames(cls, refs: DataFrame, alignments: DataFrame, seqs: DataFrame, enzymes: list[str], params: MapParams) -> ContactMap:
@@ -75,45 +78,62 @@ class ContactMap:
             if df is not None:
                 df.createOrReplaceTempView(prefix + name)
 
-    def processed(self, norm: bool = True, bisto: bool = True) -> DataFrame:
-        """The map normalised by sites and balanced; both over all contigs, masking comes later.  Ends are marginalised after."""
+    def processed(self, norm: bool = True, bisto: bool = True, flatten: bool = False, by: str = "sites", mean: str = "geometric", tol: float = 1e-6) -> DataFrame:
+        """The map normalised (``by`` sites, or by the ``mean`` of lengths) and balanced, both over all contigs: masking comes later.
+
+        Maps of ends are then marginalised, or flattened to ends numbered 2 ix + k.  A map is made once and kept in the shared folder.
+        """
+        key = (norm, bisto, flatten and self.tip_map is not None, by, mean, tol)
+        if key in self.made:
+            return self.made[key]
+        if by not in ("sites", "length"):
+            raise RuntimeError(f"{by} is nothing to normalise by: sites or length is")
+        contacts.require_accepted(self.mask())
+        m = self.seq_map if self.tip_map is None else self.tip_map
+        if norm and self.tip_map is not None:
+            m = tips.normalise_by_site(m, self.contigs) if by == "sites" else tips.normalise_by_length(m, self.contigs, self.params.tip_size)
+        elif norm:
+            m = normalise.by_sites(m, self.contigs) if by == "sites" else normalise.by_length(m, self.contigs, mean)
+        if bisto:
+            m = materialise(m)
+            _, self.scale, _ = normalise.balance(m if self.tip_map is None else materialise(tips.marginal(m)), self.contigs, tol)
+            m = normalise.scaled(m, self.scale)
         if self.tip_map is not None:
-            m = tips.normalise_by_site(self.tip_map, self.contigs) if norm else self.tip_map
-            if bisto:
-                _, x, _ = normalise.balance(materialise(tips.marginal(m)), self.contigs)
-                m = normalise.scaled(m, x)
-            return tips.marginal(m)
-        m = normalise.by_sites(self.seq_map, self.contigs) if norm else self.seq_map
-        return normalise.balance(materialise(m), self.contigs)[0] if bisto else m
-
-    def subspace(self, processed: DataFrame, ordering: DataFrame | None = None, external: DataFrame | None = None) -> DataFrame:
-        """The accepted contigs' part, in an order (rank, ix, ori) if given."""
+            m = tips.flatten(m) if flatten else tips.marginal(m)
+        self.made[key] = materialise(m)
+        return self.made[key]
+
+    def subspace(self, processed: DataFrame, ordering: DataFrame | None = None, external: DataFrame | None = None, flatten: bool = False) -> DataFrame:
+        """The accepted contigs' part, in an order (rank, ix, ori) if given; a flattened map is taken end by end."""
         mask = self.mask() if external is None else contacts.with_external_mask(self.mask(), external)
         if ordering is not None:
-            return order.permute(processed, ordering.join(mask.where("accepted").select("ix"), "ix", "left_semi"))
+            kept = ordering.join(mask.where("accepted").select("ix"), "ix", "left_semi")
+            return order.permute(processed, order.double_order(kept) if flatten else kept)
+        if flatten:
+            mask = mask.select(F.explode(F.array(2 * F.col("ix"), 2 * F.col("ix") + 1)).alias("ix"), "accepted")
         return contacts.compress(processed, mask)
 
-    def extent_map(self, norm: bool = True, bisto: bool = False, ordering: DataFrame | None = None, mean: str = "geometric") -> DataFrame:
-        """The binned map of accepted contigs: normalised by length, compressed, balanced, permuted."""
+    def extent_map(self, norm: bool = True, bisto: bool = False, ordering: DataFrame | None = None, mean: str = "geometric", tol: float = 1e-6) -> DataFrame:
+        """The binned map of accepted contigs: normalised by length, without the masked, balanced, and then permuted."""
         bins = binning.extent_bins(self.contigs, self.params.bin_size)
         m = binning.symmetric_bins(self.extent)
         if norm:
             m = binning.normalise_extent(m, bins, self.contigs, mean)
-        if ordering is not None:
-            return binning.permute_extent(m, bins, ordering)
+        kept = binning.compressed_bins(bins, self.mask())
         m = binning.compress_extent(m, bins, self.mask())
-        if not bisto:
+        if bisto:
+            square = materialise(m.select(F.col("b1").alias("i"), F.col("b2").alias("j"), "w"))
+            m = normalise.balance(square, kept.select(F.col("dense_bin").alias("ix")), tol)[0].select(F.col("i").alias("b1"), F.col("j").alias("b2"), "w")
+        if ordering is None:
             return m
-        square = materialise(m.select(F.col("b1").alias("i"), F.col("b2").alias("j"), "w"))
-        dim = binning.compressed_bins(bins, self.mask()).select(F.col("dense_bin").alias("ix"))
-        return normalise.balance(square, dim)[0].select(F.col("i").alias("b1"), F.col("j").alias("b2"), "w")
+        return binning.permute_extent(m, kept.select("ix", F.col("dense_bin").alias("bin_id"), "bin_no"), ordering)
 
-    def edges(self) -> DataFrame:
+    def edges(self, tol: float = 1e-6) -> DataFrame:
         """The graph of accepted contigs: normalised, balanced, scaled to the heaviest contact; nodes are contigs (ix)."""
         mask = self.mask()
         contacts.require_accepted(mask)
         kept = mask.where("accepted").select("ix")
-        m = self.processed()
+        m = self.processed(tol=tol)
         inside = m.join(kept.withColumnRenamed("ix", "i"), "i", "left_semi").join(kept.withColumnRenamed("ix", "j"), "j", "left_semi")
         return graph.contact_edges(materialise(inside))
 
@@ -122,14 +142,25 @@ class ContactMap:
         found = clustering.cluster_graph(self.edges(), method, seed).select(F.col("cl").alias("cl_id"), F.col("node").alias("ix"))
         return report.ranked(materialise(found), self.contigs)
 
-    def tiles(self, members: DataFrame, clusters: DataFrame, max_image: int | None = None) -> tuple[DataFrame, DataFrame]:
-        """Heatmap tiles of clusters in order, and the ticks of their borders, reduced to at most ``max_image`` a side."""
+    def tiles(self, members: DataFrame, clusters: DataFrame, max_image: int | None = None, simple: bool | None = None) -> tuple[DataFrame, DataFrame]:
+        """Heatmap tiles of clusters in order, and the ticks of their borders, reduced to at most ``max_image`` a side.
+
+        A map with bins shows its bins, normalised by length; ``simple``, or a map without, shows contigs, balanced and without the diagonal.
+        """
         kept = report.filtered(clusters, self.params.min_extent)
         ordering = report.concatenated_order(kept, members)
-        factor = heatmap.reduction(ordering.count(), max_image or self.params.max_image)
-        tiles = heatmap.log_tiles(self.subspace(self.processed(), ordering))
-        ticks = heatmap.cluster_ticks(kept)
-        if factor > 1:
-            tiles = heatmap.downsample(tiles, factor)
+        ordering = ordering.join(self.mask().where("accepted").select("ix"), "ix", "left_semi")
+        if simple or self.params.bin_size is None:
+            m, side = self.subspace(self.processed(), ordering), ordering.count()
+            ticks = heatmap.cluster_ticks(kept)
+        else:
+            bins = binning.extent_bins(self.contigs, self.params.bin_size).join(ordering.select("ix"), "ix", "left_semi")
+            m, side = self.extent_map(ordering=ordering).select(F.col("b1").alias("i"), F.col("b2").alias("j"), "w"), bins.count()
+            sizes = bins.join(members, "ix").groupBy("cl_id").agg(F.count("*").alias("bins"))
+            ticks = heatmap.cluster_ticks(kept.join(sizes, "cl_id"), "bins")
+        bins_shown = not simple and self.params.bin_size is not None
+        factor = heatmap.reduction(side, max_image or self.params.max_image)
+        if factor > 1:  # the picture is reduced before its logarithm is taken
+            m = heatmap.downsample(m.where("i <> j") if not bins_shown else m, factor)
             ticks = ticks.withColumn("tick", F.floor(F.col("tick") / factor))
-        return tiles, ticks
+        return heatmap.log_tiles(m, zero_diagonal=not bins_shown and factor == 1, times=1.0 if bins_shown else 100.0), ticks
