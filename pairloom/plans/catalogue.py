@@ -11,6 +11,7 @@ from pairloom.functions import scalar
 from pairloom.operators import binning, clustering, components, contacts, graph, heatmap, likelihood, normalise, order, pairs, report, sequences, tips
 from pairloom.params import MapParams
 from pairloom.plans import adapters
+from pairloom.plans.contact_map import ContactMap
 
 PARAMS = MapParams(min_mapq=20, strong=10, min_insert=100, min_len=1000, min_sig=3, bin_size=10_000)
 TIP_PARAMS = MapParams(min_mapq=20, strong=10, min_insert=100, min_len=1000, min_sig=3, tip_size=5000)
@@ -381,14 +382,118 @@ def balanced_map_iter5(spark, sf):
     return rounded(normalise.scaled(m, x), "w")
 
 
-@query(sql("SELECT true AS converged"))
+def _converged(name: str, cells: str, ids: str, steps: int = 150) -> str:
+    """The factors f (ix, x) of the symmetric cells (i, j, w) after many steps, each worked out once."""
+    out = f"""{name}_w AS MATERIALIZED (SELECT i, j, CAST(w AS DOUBLE) AS w FROM {cells} WHERE i <> j UNION ALL SELECT ix, ix, coalesce(n.w, 1.0) FROM {ids} LEFT JOIN {cells} n ON n.i = ix AND n.j = ix AND n.w <> 0),
+{name}_0 AS MATERIALIZED (SELECT i AS ix, 1 / sqrt(sum(w)) AS x FROM {name}_w GROUP BY i)"""
+    for k in range(steps):
+        out += f""",
+{name}_{k + 1} AS MATERIALIZED (SELECT x.ix, sqrt(x.x / y.y) AS x FROM {name}_{k} x JOIN (SELECT i, sum(w * x) AS y FROM {name}_w JOIN {name}_{k} ON j = ix GROUP BY i) y ON x.ix = y.i)"""
+    return out + f",\n{name} AS (SELECT ix, x FROM {name}_{steps})"
+
+
+#: Balanced as far as numbers go, so that rounded results don't depend on where an engine stops.
+_END = 1e-12
+_FACTORS = _converged("f", "norm", "contigs")
+
+
+@query(sql("SELECT f.ix, round(x * y, 5) AS row_sum FROM f JOIN (SELECT i, sum(w * x) AS y FROM f_w JOIN f ON j = ix GROUP BY i) s ON f.ix = s.i", _FACTORS))
 def balanced_residual(spark, sf):
-    """Balances to the end and looks at what is left of the row sums' deviation from 1."""
+    """Balances to the usual tolerance; the row sums of the result."""
     from pairloom.session import materialise
 
     m = materialise(normalise.by_sites(symmetric(spark, sf), contigs(spark, sf)))
     _, x, _ = normalise.balance(m, contigs(spark, sf))
-    return normalise.residual(normalise.working_copy(m, contigs(spark, sf)), x).select((F.col("residual") <= 1e-12).alias("converged"))
+    sums = normalise.times(normalise.working_copy(m, contigs(spark, sf)), x)
+    return x.join(sums, "ix").select("ix", F.round(F.col("x") * F.col("y"), 5).alias("row_sum"))
+
+
+@query(sql("SELECT ix, round(x, 6) AS x FROM f", _FACTORS))
+def balance_factors(spark, sf):
+    from pairloom.session import materialise
+
+    m = materialise(normalise.by_sites(symmetric(spark, sf), contigs(spark, sf)))
+    return rounded(normalise.balance(m, contigs(spark, sf), _END)[1], "x")
+
+
+def contact_map(spark: SparkSession, sf: str, params: MapParams = PARAMS) -> ContactMap:
+    """The driver's tables as a map with all its parts."""
+    dim = contigs(spark, sf)
+    tip = tips.symmetrize_tips(tip_upper(spark, sf)) if params.tip_size else None
+    if params.tip_size:
+        dim = dim.withColumn("sites", F.array(F.col("sites"), F.col("sites") * 5 % 7))
+    seq = tips.marginal(tip) if params.tip_size else symmetric(spark, sf)
+    return ContactMap(dim, seq, pairs.accounting(classified(spark, sf, params)), params, tip, extent(spark, sf) if params.bin_size else None)
+
+
+@query(sql("SELECT norm.i, norm.j, round(norm.w * a.x * b.x, 6) AS w FROM norm JOIN f a ON norm.i = a.ix JOIN f b ON norm.j = b.ix", _FACTORS))
+def processed_map(spark, sf):
+    return rounded(contact_map(spark, sf).processed(tol=_END), "w")
+
+
+@query(sql("SELECT a.dense_ix AS i, b.dense_ix AS j, round(norm.w * x.x * y.x, 6) AS w FROM norm JOIN f x ON norm.i = x.ix JOIN f y ON norm.j = y.ix JOIN dense a ON norm.i = a.ix JOIN dense b ON norm.j = b.ix", _FACTORS))
+def processed_subspace(spark, sf):
+    m = contact_map(spark, sf)
+    return rounded(m.subspace(m.processed(tol=_END)), "w")
+
+
+_PROCESSED = _FACTORS + """,
+inner_map AS (SELECT norm.i, norm.j, norm.w * x.x * y.x AS w FROM norm JOIN f x ON norm.i = x.ix JOIN f y ON norm.j = y.ix WHERE norm.i IN (SELECT ix FROM dense) AND norm.j IN (SELECT ix FROM dense))"""
+
+
+@query(sql("SELECT i AS u, j AS v, round(w / (SELECT max(w) FROM inner_map), 6) AS weight FROM inner_map WHERE i <= j AND w > 0", _PROCESSED))
+def processed_edges(spark, sf):
+    """The graph that is clustered: normalised, balanced, without masked contigs, scaled."""
+    return rounded(contact_map(spark, sf).edges(tol=_END), "weight")
+
+
+@query(sql("SELECT i, j, round(w, 6) AS w FROM ln", "ln AS (SELECT i, j, w / (1e-3 * (2.0 / (1.0 / CAST(a.length AS DOUBLE) + 1.0 / b.length))) AS w FROM sym JOIN contigs a ON i = a.ix JOIN contigs b ON j = b.ix)"))
+def processed_by_harmonic_length(spark, sf):
+    return rounded(contact_map(spark, sf).processed(bisto=False, by="length", mean="harmonic"), "w")
+
+
+_TIP_NORM = """
+tn AS (SELECT i, j, k, l, w / CAST(greatest(CASE WHEN k = 0 THEN a.sites ELSE (a.sites * 5) % 7 END, 1) * greatest(CASE WHEN l = 0 THEN b.sites ELSE (b.sites * 5) % 7 END, 1) AS DOUBLE) AS w FROM tsym JOIN contigs a ON i = a.ix JOIN contigs b ON j = b.ix),
+tm AS (SELECT i, j, sum(w) AS w FROM tn GROUP BY i, j)"""
+
+
+@query(sql("SELECT i, j, round(w * x.x * y.x, 6) AS w FROM tm JOIN f x ON i = x.ix JOIN f y ON j = y.ix", TIPS, _TIP_NORM, _converged("f", "tm", "contigs")))
+def tip_processed_map(spark, sf):
+    """Ends normalised by their sites, balanced by contigs, and marginalised."""
+    return rounded(contact_map(spark, sf, TIP_PARAMS).processed(tol=_END), "w")
+
+
+@query(sql("SELECT CAST(2 * i + k AS INT) AS i, CAST(2 * j + l AS INT) AS j, round(w * x.x * y.x, 6) AS w FROM tn JOIN f x ON i = x.ix JOIN f y ON j = y.ix", TIPS, _TIP_NORM, _converged("f", "tm", "contigs")))
+def tip_processed_flat(spark, sf):
+    return rounded(contact_map(spark, sf, TIP_PARAMS).processed(flatten=True, tol=_END).select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "w"), "w")
+
+
+_EXTENT_DENSE = """
+db AS (SELECT bins.bin_id, bins.ix, bin_no, CAST(row_number() OVER (ORDER BY bin_id) - 1 AS INT) AS dense_bin FROM bins JOIN mask ON bins.ix = mask.ix WHERE accepted),
+en AS (SELECT a.dense_bin AS i, b.dense_bin AS j, w / (1e-3 * sqrt(CAST(x.length AS DOUBLE) * y.length)) AS w FROM esym JOIN db a ON b1 = a.bin_id JOIN db b ON b2 = b.bin_id JOIN contigs x ON a.ix = x.ix JOIN contigs y ON b.ix = y.ix),
+di AS (SELECT dense_bin AS ix FROM db),
+nn AS (SELECT db.ix, count(*) AS n FROM db GROUP BY db.ix),
+st AS (SELECT ordering.ix, ori, n, coalesce(sum(n) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM ordering JOIN nn ON ordering.ix = nn.ix),
+pb AS (SELECT dense_bin, CAST(start + CASE WHEN ori > 0 THEN bin_no ELSE n - 1 - bin_no END AS INT) AS pos FROM db JOIN st ON db.ix = st.ix)"""
+
+
+@query(sql("SELECT a.pos AS b1, b.pos AS b2, round(w * x.x * y.x, 6) AS w FROM en JOIN f x ON i = x.ix JOIN f y ON j = y.ix JOIN pb a ON i = a.dense_bin JOIN pb b ON j = b.dense_bin", BINS, ORD, _EXTENT_DENSE, _converged("f", "en", "di", 400)))
+def extent_processed(spark, sf):
+    """The binned map normalised, without masked contigs, balanced, and in an order."""
+    return rounded(contact_map(spark, sf).extent_map(bisto=True, ordering=ordering(spark, sf), tol=_END), "w")
+
+
+@query(sql("SELECT a.pos AS i, b.pos AS j, round(ln(w + 0.01), 6) AS w FROM en JOIN pb a ON i = a.dense_bin JOIN pb b ON j = b.dense_bin", BINS, ORD, _EXTENT_DENSE))
+def extent_tiles(spark, sf):
+    m = contact_map(spark, sf).extent_map(ordering=ordering(spark, sf)).select(F.col("b1").alias("i"), F.col("b2").alias("j"), "w")
+    return rounded(heatmap.log_tiles(m, zero_diagonal=False, times=1.0), "w")
+
+
+@query(sql("SELECT a.rank AS i, b.rank AS j, round(ln(CASE WHEN norm.i = norm.j THEN 0 ELSE 100 * norm.w * x.x * y.x END + 0.01), 5) AS w FROM norm JOIN f x ON norm.i = x.ix JOIN f y ON norm.j = y.ix JOIN ordering a ON norm.i = a.ix JOIN ordering b ON norm.j = b.ix", _FACTORS, ORD))
+def contig_tiles(spark, sf):
+    m = contact_map(spark, sf)
+    tiles = heatmap.log_tiles(m.subspace(m.processed(tol=_END), ordering(spark, sf)))
+    return tiles.withColumn("w", F.round("w", 5))
 
 
 @query(sql("SELECT a.rank AS i, b.rank AS j, w FROM sym JOIN ordering a ON i = a.ix JOIN ordering b ON j = b.ix", ORD))
@@ -484,15 +589,11 @@ def degenerate_report(spark, sf):
     return rounded(graph.degenerates(edges(spark, sf), dim, 2.0, 5000), "cov", "local_cov", "fold")
 
 
-_SPARSE = "u <> v AND (u * 7 + v * 13) % 31 = 0"
-
-
-@query("WITH RECURSIVE " + BASE + f""",
-sp AS (SELECT u, v FROM edges WHERE {_SPARSE} UNION SELECT v, u FROM edges WHERE {_SPARSE}),
+@query("WITH RECURSIVE " + BASE + """,
+sp AS (SELECT u, v FROM edges WHERE u <> v UNION SELECT v, u FROM edges WHERE u <> v),
 reach AS (SELECT DISTINCT u AS node, u AS seen FROM sp UNION SELECT reach.node, sp.v FROM reach JOIN sp ON reach.seen = sp.u)
 SELECT node, min(seen) AS component FROM reach GROUP BY node""")
 def connected_components(spark, sf):
-    # over all edges: the SQL still has the former filter, so the two differ
     return components.connected_components(edges(spark, sf))
 
 
@@ -571,7 +672,7 @@ def mapeq_clusters(spark, sf):
 
 @query()
 def mcl_clusters(spark, sf):
-    return clustering.mcl(edges(spark, sf), prune=1e-3)
+    return clustering.mcl(edges(spark, sf))
 
 
 @query()
@@ -703,7 +804,7 @@ def poisson_loglik(spark, sf):
 
 
 _SMALL = f"""
-sc AS (SELECT ix, length, "offset" AS ahead FROM contigs WHERE ix < 30),
+sc AS (SELECT ix, length, "offset" AS ahead FROM contigs),
 pr AS (SELECT x.bin_id AS e1, y.bin_id AS e2, abs(b.ahead - a.ahead - a.length + 0.5 * (a.length + b.length) + y.center - x.center) AS s
   FROM sc a JOIN sc b ON a.ix < b.ix JOIN bins x ON x.ix = a.ix JOIN bins y ON y.ix = b.ix),
 oe AS (SELECT coalesce(w, 0) AS w, 1000.0 * ({_PARETO}) AS e FROM pr LEFT JOIN ext ON b1 = least(e1, e2) AND b2 = greatest(e1, e2))
@@ -712,7 +813,6 @@ oe AS (SELECT coalesce(w, 0) AS w, 1000.0 * ({_PARETO}) AS e FROM pr LEFT JOIN e
 
 @query(sql("SELECT round(-sum(CASE WHEN w > 0 THEN w * ln(w / e) + e - w + 0.5 * ln(2 * pi() * w) ELSE e END), 6) AS loglik FROM oe", BINS, _SMALL))
 def order_likelihood(spark, sf):
-    # over all contigs: the SQL still has the former cut to ix < 30, so the two differ on tables with more contigs
     return rounded(likelihood.log_likelihood(extent(spark, sf), bins(spark, sf), order.initial(contigs(spark, sf)), total=1000.0), "loglik")
 
 
