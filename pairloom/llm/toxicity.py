@@ -57,8 +57,12 @@ def words_of(text: str | None) -> list[str]:
 
 def forms_of(word: str) -> list[str]:
     """What a word may stand for besides itself: letters for digits and signs, and runs of a letter shortened."""
-    out = []
-    plain = word.translate(_LOOKS) if not word.isalpha() and any(c.isalpha() for c in word) else word
+    out: list[str] = []
+    plain = word
+    if not word.isalpha():
+        plain = word.translate(_LOOKS) if any(c.isalpha() for c in word) else word
+    if _RUN.search(plain) is None:
+        return out if plain == word else [plain]
     for x in (plain, _RUN.sub(r"\1", plain), _RUN.sub(r"\1\1", plain)):
         if x != word and x not in out:
             out.append(x)
@@ -80,6 +84,8 @@ class Trie:
         self.long: dict = {}
         self.heads: set[str] = set()
         self.tails: set[str] = set()
+        #: The letters of each term in order, which a swap leaves as they are.
+        self.letters: set[str] = set()
         #: Thirds of long terms: the first, the last, and the middle ones by where they begin.
         self.first: set[str] = set()
         self.last: set[str] = set()
@@ -91,6 +97,7 @@ class Trie:
             half = len(term) // 2
             self.heads.add(term[:half])
             self.tails.add(term[half:])
+            self.letters.add("".join(sorted(term)))
             if len(term) >= LONG_LENGTH:
                 self._add(self.long, term)
                 a, b = len(term) // 3, 2 * len(term) // 3
@@ -107,10 +114,10 @@ class Trie:
         node[""] = term
 
     def _may_be_one(self, word: str) -> bool:
-        """One edit leaves one half of the term as it is; a swap of neighbours may touch both, but can be undone."""
+        """One edit leaves one half of the term as it is; a swap of neighbours may touch both, but keeps the letters."""
         if any(word[:n] in self.heads for n in self.sizes[0]) or any(word[-n:] in self.tails for n in self.sizes[1]):
             return True
-        return any(f"{word[:k]}{word[k + 1]}{word[k]}{word[k + 2:]}" in self.terms for k in range(len(word) - 1))
+        return "".join(sorted(word)) in self.letters
 
     def _may_be_two(self, word: str) -> bool:
         """Two edits leave one third of the term as it is, at most two places from where it was."""
