@@ -5,8 +5,8 @@ units are its lines and sentences, runs of two and three lines (notices are wrap
 (licence files).  A term's idf comes from all files scanned; terms that no template has weigh like an average one that templates have.
 
 A unit can only reach ``THRESHOLD`` with a template if it shares terms that hold enough of the template's norm, so it holds at least one of the
-template's heaviest terms (those left when the lightest, with less than the square of the threshold of the norm, are set aside).  Files and units
-without such a term are set aside unscored; nothing is lost by it.  Each distinct unit is scored once, however many files repeat it.
+template's rarer terms (those left when the most frequent ones, with less than the square of the threshold of the squared norm, are set aside).
+Files and units without such a term are set aside unscored; nothing is lost by it.  Each distinct unit is scored once, however many files repeat it.
 
 A file's own licence is that of its best unit at the threshold or more.  A file is a licence file if its name says so, if its whole text is such a
 unit, or if half of its words lie in such lines and sentences; its licence holds for its directory, and files without one of their own take that of
@@ -140,10 +140,10 @@ def template_vectors(n_files: int, df: dict[str, int]) -> tuple[dict[str, float]
     rows, needed = [], set()
     for k, ((licence, _), counts) in enumerate(zip(TEMPLATES, own, strict=True)):
         norm = math.sqrt(sum((c * idf[t]) ** 2 for t, c in counts.items()))
-        parts = sorted((c * idf[t] / norm, t) for t, c in counts.items())
-        rows += [(k, licence, t, x) for x, t in parts]
+        parts = [(t, counts[t] * idf[t] / norm) for t in sorted(counts, key=lambda t: (idf[t], t))]
+        rows += [(k, licence, t, x) for t, x in parts]
         aside = 0.0
-        for x, t in parts:  # the lightest first
+        for t, x in parts:  # what most files have first
             aside += x * x
             if aside >= (THRESHOLD - 1e-3) ** 2:
                 needed.add(t)
