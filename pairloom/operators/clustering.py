@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import graph as g
 from pairloom.operators.components import connected_components
-from pairloom.operators.local_search import search
+from pairloom.operators.local_search import search, smart_search
 from pairloom.session import materialise, release
 
 METHODS = ("infomap", "louvain", "mcl", "slm", "simap")
@@ -21,8 +21,8 @@ def _numbered(parts: DataFrame) -> DataFrame:
     return parts.join(number, ["part", "sub"]).select("node", F.col("cl").cast("int").alias("cl"))
 
 
-def louvain(edges: DataFrame, seed: int = 1, resolution: float = 1.0, starts: int = 1) -> DataFrame:
-    """Communities of high modularity.
+def louvain(edges: DataFrame, seed: int = 1, resolution: float = 1.0, starts: int = 1, smart: bool = False) -> DataFrame:
+    """Communities of high modularity, by Louvain's levels or by smart local moving.
 
     Given the whole graph's weight, modularity is a sum over components, so each component is searched by a task of its own; that is exact.  A
     component must fit a task's memory.  With several starts the best is kept for each component.
@@ -39,7 +39,7 @@ def louvain(edges: DataFrame, seed: int = 1, resolution: float = 1.0, starts: in
         own = sorted({x for u, v, _ in triples for x in (u, v)})
         best, most = None, float("-inf")
         for k in range(starts):
-            found = search(own, triples, whole, "modularity", seed + k, resolution)
+            found = smart_search(own, triples, whole, seed + k, resolution) if smart else search(own, triples, whole, "modularity", seed + k, resolution)
             inside: dict[int, float] = {}
             total: dict[int, float] = {}
             for u, v, w in triples:
@@ -56,8 +56,8 @@ def louvain(edges: DataFrame, seed: int = 1, resolution: float = 1.0, starts: in
 
 
 def smart_local_moving(edges: DataFrame, seed: int = 1, starts: int = 10) -> DataFrame:
-    """Fallback for smart local moving: louvain at resolution 2 with ten starts, without splitting communities by local moving."""
-    return louvain(edges, seed, resolution=2.0, starts=starts)
+    """Smart local moving at resolution 2: the best of ten starts of up to ten iterations each."""
+    return louvain(edges, seed, resolution=2.0, starts=starts, smart=True)
 
 
 def map_equation(edges: DataFrame, seed: int = 1, trials: int = 10) -> DataFrame:
