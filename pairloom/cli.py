@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairloom import session
 from pairloom.errors import ApplicationException
-from pairloom.operators import clustering, contacts, graph, report, sequences
+from pairloom.operators import clustering, contacts, graph, heatmap, report, sequences
 from pairloom.params import MapParams, SplitParams
 from pairloom.plans.contact_map import ContactMap
 from pairloom.sources import bundle, clusterings, fasta
@@ -95,6 +95,9 @@ def cluster(spark, args) -> None:
         tiles, ticks = made.tiles(members, clusters, args.max_image)
         tiles.write.mode("overwrite").parquet(f"{args.OUT}/cluster_tiles")
         ticks.write.mode("overwrite").parquet(f"{args.OUT}/cluster_ticks")
+        end = ticks.agg(F.max("tick")).first()[0]
+        if end:  # the last tick is the picture's side
+            heatmap.write_png(spark.read.parquet(f"{args.OUT}/cluster_tiles"), int(end) + made.reduced, f"{args.OUT}/cluster_plot.png")
 
 
 def split(spark, args) -> None:

@@ -15,6 +15,11 @@ def contact_edges(matrix: DataFrame, scale: bool = True) -> DataFrame:
     return m.where("i <= j AND w > 0").select(F.col("i").alias("u"), F.col("j").alias("v"), F.col("w").alias("weight"))
 
 
+def node_attributes(contigs: DataFrame, report: DataFrame) -> DataFrame:
+    """(node, name, coverage, sites, length): contigs that edges speak of, with what a sequence report (by name) says of them."""
+    return contigs.select(F.col("ix").alias("node"), "name").join(report.select("name", "coverage", "sites", "length"), "name").select("node", "name", "coverage", "sites", "length")
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge from both of its ends, a loop once."""
     return edges.select("u", "v", "weight").unionByName(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))

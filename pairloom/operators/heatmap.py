@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.sources.stores import file_system
+
 
 def reduction(max_dim: int, max_image: int | None = 4000) -> int:
     """Cells per pixel, so that no side exceeds ``max_image``."""
@@ -45,3 +51,28 @@ def contig_labels(ordering: DataFrame, contigs: DataFrame, ends: bool = False) -
     """(tick, label): ``+ name`` or ``- name`` along the axis."""
     sign = F.when(F.col("ori") < 0, F.lit("- ")).otherwise(F.lit("+ "))
     return ordering.join(contigs.select("ix", "name"), "ix").select((F.col("rank") * (2 if ends else 1)).alias("tick"), F.concat(sign, F.col("name")).alias("label"))
+
+
+def write_png(tiles: DataFrame, side: int, path: str, alpha: float = 0.01, robust: bool = True) -> None:
+    """A picture of log tiles (i, j, w), a cell per pixel, dark where contacts are many; absent cells are ln(alpha).
+
+    The driver holds the picture: ``side`` is what ``reduction`` left, at most the largest image asked for.  ``robust`` stretches the greys between
+    the 2nd and the 98th percentile of the cells.
+    """
+    cells = tiles.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("w").cast("double").alias("w")).toArrow()
+    floor = float(np.log(alpha))
+    image = np.full((side, side), floor, np.float32)
+    image[cells.column("i").to_numpy(), cells.column("j").to_numpy()] = cells.column("w").to_numpy()
+    low, high = np.percentile(image, (2, 98)) if robust else (image.min(), image.max())
+    if high <= low:
+        low, high = image.min(), max(image.max(), image.min() + 1)
+    grey = 255 - np.clip((image - low) * (255 / (high - low)), 0, 255).astype(np.uint8)
+    raw = np.zeros((side, side + 1), np.uint8)  # each row is led by the filter's number, 0
+    raw[:, 1:] = grey
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    system, own = file_system(path)
+    with system.open_output_stream(own, compression=None) as out:
+        out.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", side, side, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw.tobytes(), 6)) + chunk(b"IEND", b""))

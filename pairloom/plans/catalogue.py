@@ -895,6 +895,22 @@ def flipped_and_masked_order(spark, sf):
     return order.accepted_positions(own).select("rank", "ix", F.col("ori").cast("int").alias("ori"))
 
 
+@query(sql("""SELECT m.ix, CAST(coalesce(o.rank, (SELECT count(*) FROM ordering) + row_number() OVER (PARTITION BY o.rank IS NULL ORDER BY m.ix) - 1) AS INT) AS pos,
+  CAST(coalesce(o.ori, 1) AS INT) AS ori, o.rank IS NOT NULL AS mask FROM mask m LEFT JOIN ordering o ON m.ix = o.ix""", ORD))
+def order_taken_over(spark, sf):
+    own = order.set_mask(order.initial(contigs(spark, sf)), mask(spark, sf))
+    out = order.set_order(own, ordering(spark, sf))
+    return out.select("ix", "pos", F.col("ori").cast("int").alias("ori"), "mask")
+
+
+@query(sql("SELECT up.i AS a, up.j AS b, a.rank < b.rank AS is_before FROM up JOIN ordering a ON up.i = a.ix JOIN ordering b ON up.j = b.ix WHERE up.i <> up.j", ORD))
+def order_before(spark, sf):
+    own = ordering(spark, sf)
+    x, y = own.select(F.col("ix").alias("a"), F.col("rank").alias("ra")), own.select(F.col("ix").alias("b"), F.col("rank").alias("rb"))
+    met = upper(spark, sf).where("i <> j").select(F.col("i").alias("a"), F.col("j").alias("b"))
+    return met.join(x, "a").join(y, "b").select("a", "b", order.before(F.col("ra"), F.col("rb")).alias("is_before"))
+
+
 @query(sql("SELECT count(*) AS n FROM inf"))
 def informative_count(spark, sf):
     return pairs.informative(adapters.alignments(spark, sf)).agg(F.count("*").alias("n"))

@@ -26,6 +26,8 @@ class ContactMap:
     #: Processed maps by how they were made, and the last balancing's factors (ix, x).
     made: dict[tuple, DataFrame] = field(default_factory=dict, repr=False)
     scale: DataFrame | None = None
+    #: Pixels that the last picture's side has beyond its last tick, which is cut to whole ones.
+    reduced: int = 0
 
     @classmethod
     def from_frames(cls, refs: DataFrame, alignments: DataFrame, seqs: DataFrame, enzymes: list[str], params: MapParams) -> ContactMap:
@@ -160,6 +162,7 @@ class ContactMap:
             ticks = heatmap.cluster_ticks(kept.join(sizes, "cl_id"), "bins")
         bins_shown = not simple and self.params.bin_size is not None
         factor = heatmap.reduction(side, max_image or self.params.max_image)
+        self.reduced = -(-side // factor) - side // factor
         if factor > 1:  # the picture is reduced before its logarithm is taken
             m = heatmap.downsample(m.where("i <> j") if not bins_shown else m, factor)
             ticks = ticks.withColumn("tick", F.floor(F.col("tick") / factor))

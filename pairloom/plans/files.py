@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.operators import pairs, report, sequences
+from pairloom.operators import graph, pairs, report, sequences
 from pairloom.plans import adapters
 from pairloom.plans import catalogue as c
 from pairloom.plans.contact_map import ContactMap
@@ -135,13 +135,22 @@ def graphml_file(spark, sf):
     return round_trip(spark, lambda p: clusterings.write_graphml(c.edges(spark, sf), p), lambda p: clusterings.read_graphml(spark, p))
 
 
-@c.query(c.sql("SELECT name, CAST(1.5 + ix % 37 AS DOUBLE) AS coverage, sites, length FROM contigs"))
-def sequence_report_file(spark, sf):
+def _sequence_report(spark: SparkSession, sf: str) -> DataFrame:
     info = F.map_from_entries(F.collect_list(F.struct("name", F.struct((F.lit(1.5) + F.col("ix") % 37).alias("coverage"), "sites", "length"))))
     text = c.contigs(spark, sf).agg(info.alias("seq_info")).select(F.to_json(F.struct("seq_info")).alias("value"))  # a row per contig in all
     return round_trip(spark, lambda p: text.coalesce(1).write.text(p), lambda p: clusterings.read_sequence_report(spark, p))
 
 
+@c.query(c.sql("SELECT name, CAST(1.5 + ix % 37 AS DOUBLE) AS coverage, sites, length FROM contigs"))
+def sequence_report_file(spark, sf):
+    return _sequence_report(spark, sf)
+
+
+@c.query(c.sql("SELECT ix AS node, name, CAST(1.5 + ix % 37 AS DOUBLE) AS coverage, sites, length FROM contigs"))
+def contact_graph_nodes(spark, sf):
+    return graph.node_attributes(c.contigs(spark, sf), _sequence_report(spark, sf))
+
+
 @c.query(c.seq_sql("SELECT CAST(id AS INT) AS id, 'CL' || lpad(CAST(id + 1 AS VARCHAR), CAST(greatest(CAST(ceil(log10(n)) AS INT), 1, length(CAST(id + 1 AS VARCHAR))) AS INT), '0') AS name, CAST(size AS BIGINT) AS size, extent FROM dr", c._DOCS))
 def report_file(spark, sf):
     stats, clusters, _ = c._doc_clusters(spark, sf)

@@ -1,6 +1,7 @@
 """Membership files: MCL lists, tables and trees; graphs as edge lists and GraphML; sequence reports.
 
-Line numbers matter in these files and they have a line per cluster or contig, so each is read as one text and taken apart in one row.
+Line numbers matter in these files.  Lines are read as rows, in splits, and numbered by their place; numbering is one ordered pass, and the files have a
+line per cluster or contig.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 def _lines(spark: SparkSession, path: str, until_blank: bool = True) -> DataFrame:
     """(line_no, line), up to the first blank line."""
-    lines = F.split("value", "\r?\n")
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("line_no", "line"))
+    place = (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("place")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place, F.col("value").alias("line"))
+    rows = rows.select((F.row_number().over(Window.orderBy("file", "place")) - 1).cast("int").alias("line_no"), "line")
     if not until_blank:
         return rows.where(F.trim("line") != "")
     blank = rows.where(F.trim("line") == "").agg(F.min("line_no").alias("end"))

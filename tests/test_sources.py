@@ -176,6 +176,10 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["cluster", "--seed", "1", "--min-extent", "5000", "--fasta", str(tmp_path / "x.fa"), str(tmp_path / "map"), str(tmp_path / "out")]) == 0
     clusters = spark.read.parquet(str(tmp_path / "out/clustering/clusters"))
     assert sorted(tuple(r) for r in clusters.select("name", "size", "extent").collect()) == [("CL1", 4, 12000), ("CL2", 4, 12000), ("CL3", 4, 12000)]
+    picture = (tmp_path / "out/cluster_plot.png").read_bytes()
+    assert picture[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", picture[16:24]) == (36, 36)
+    pixels = zlib.decompress(picture[41 : 41 + struct.unpack(">I", picture[33:37])[0]])
+    assert len(pixels) == 36 * 37 and sum(pixels[37 * k + 1 + k] for k in range(36)) < sum(pixels[37 * k + 36 - k] for k in range(36))  # the diagonal is dark
     table = spark.read.option("header", True).csv(str(tmp_path / "out/cluster_report.csv"))
     assert table.count() == 3 and "cov_std" in table.columns
     # a map with bins shows its bins: three of each contig
