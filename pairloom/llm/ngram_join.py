@@ -10,8 +10,8 @@ copies cost as much as one text.  Classes that agree on a band of MinHash values
 A comparison goes through the MinHash values step by step and drops the pair as soon as the posterior probability that its similarity reaches the
 threshold falls below ``TOLERANCE``.  What is left ties classes to candidate components; within these, in pairs of blocks, pairs are pruned once
 more and the shingle sets decide exactly, pair by pair or, where most pairs are left, by a product of incidence matrices.  Tasks return sums and one
-tie per class, never a row per pair.  The comparisons within a group of n different near copies grow with n squared, as all links are counted; a
-block's row is sent to as many jobs as the group has blocks.
+tie per class, never a row per pair.  The comparisons within a group of n different near copies grow with n squared, as all links are counted; a row
+is sent to as many jobs as its group has blocks, which are at most 64 for groups of up to 131,072 classes.
 
 With 32 bands of 5 values a pair at similarity 0.8 is missed with probability (1 - 0.8^5)^32 = 3e-6.
 
@@ -42,9 +42,11 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: A pair is dropped when the chance that it reaches the threshold is below this.
 TOLERANCE = 1e-6
-#: Classes of a block of a bucket and of a component, shingles of the latter (these bound what a task holds), and rows up to which a table of ids is
-#: broadcast.
-BUCKET_BLOCK, BLOCK, BLOCK_SHINGLES, BROADCAST_ROWS = 2048, 768, 3_000_000, 300_000
+#: Classes of a block of a bucket and of a component at most, shingles of the latter (these bound what a task holds), and rows up to which a table of
+#: ids is broadcast.
+BUCKET_BLOCK, BLOCK, BLOCK_SHINGLES, BROADCAST_ROWS = 2048, 2048, 3_000_000, 300_000
+#: Classes of a block at least, and blocks that a group is cut into before its blocks grow: small groups make small jobs, large ones few copies.
+LEAST_BLOCK, BLOCKS = 256, 64
 #: Pairs that are compared at once, bytes of jobs that a partition gets on average, and columns of an incidence matrix.
 STRIP, JOB_BYTES, COLUMNS = 400_000, 32 << 20, 4096
 _SLICE = 200_000
@@ -221,7 +223,8 @@ def block_jobs(rows: DataFrame, group: str, block: int, load: str | None = None)
     """
     weight = F.col(load) if load else F.lit(1)
     sizes = rows.groupBy(group).agg(F.count("*").alias("members"), F.sum(weight).alias("total")).where("members > 1")
-    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("total") / BLOCK_SHINGLES) if load else F.lit(1)).cast("int")
+    size = F.least(F.greatest(F.ceil(F.col("members") / BLOCKS), F.lit(LEAST_BLOCK)), F.lit(block))
+    blocks = F.greatest(F.ceil(F.col("members") / size), F.ceil(F.col("total") / BLOCK_SHINGLES) if load else F.lit(1)).cast("int")
     # the sizes are joined, not counted in a window: a large group's rows never meet in one task
     joined = rows.join(sizes.select(group, blocks.alias("k")), group).withColumn("chunk", F.pmod(F.hash("num"), F.col("k")))
     dealt = joined.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
