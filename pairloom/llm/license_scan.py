@@ -6,7 +6,7 @@ units are its lines and sentences, runs of two and three lines (notices are wrap
 
 A unit can only reach ``THRESHOLD`` with a template if it shares terms that hold enough of the template's norm, so it holds at least one of the
 template's rarer terms (those left when the most frequent ones, with less than the square of the threshold of the squared norm, are set aside).
-Files and units without such a term are set aside unscored; nothing is lost by it.  Each distinct unit is scored once, however many files repeat it.
+It also needs enough of its own norm in terms that templates have.  Files and units that can't match by this are set aside unscored; nothing is lost.  Each distinct unit is scored once, however many files repeat it.
 
 A file's own licence is that of its best unit at the threshold or more.  A file is a licence file if its name says so, if its whole text is such a
 unit, or if half of its words lie in such lines and sentences; its licence holds for its directory, and files without one of their own take that of
@@ -189,13 +189,38 @@ def units_of(folded: Column) -> Column:
     return F.concat(kind(0, F.split(folded, UNIT_END)), kind(1, F.concat(let(lines, runs), F.split(folded, BLOCK_END))), kind(2, F.array(folded)))
 
 
+def _may_match(terms: Column, vectors: tuple[dict[str, float], list, float, list[str]]) -> Column:
+    """Whether a unit can reach the threshold: it holds a needed term, and enough of its own norm lies in terms that templates have.
+
+    The weights of the latter are exact; the other terms count as if each stood once, which can only let too much pass.
+    """
+    idf, _, unknown, needed = vectors
+    weights = F.create_map(*(F.lit(x) for t, w in sorted(idf.items()) for x in (t, w)))
+    least = (THRESHOLD - 1e-3) ** 2
+
+    def enough(own: Column) -> Column:
+        def body(known: Column) -> Column:
+            squares = F.transform(known, lambda t: F.pow(F.size(F.filter(own, lambda x: x == t)) * F.element_at(weights, t), F.lit(2.0)))
+            others = F.size(F.array_distinct(own)) - F.size(known)
+            return let(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x), lambda v: v >= least * (v + others * unknown * unknown))
+
+        return F.arrays_overlap(own, _among(needed)) & let(F.array_intersect(own, _among(sorted(idf))), body)
+
+    return let(terms, enough)
+
+
+def _unit_keys(unit: str = "unit") -> list[Column]:
+    """128 bits that stand for a unit's text."""
+    return [F.xxhash64(unit).alias("u1"), F.xxhash64(F.lit(1), unit, F.lit(1)).alias("u2")]
+
+
 def matched_units(units: DataFrame, vectors: tuple[dict[str, float], list, float, list[str]]) -> DataFrame:
     """(unit, licence, score) of the distinct units at the threshold or more; ``units`` has the column unit."""
     spark = units.sparkSession
     idf, rows, unknown, _ = vectors
     weights = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     templates = F.broadcast(spark.createDataFrame(rows, "template int, licence string, term string, part double"))
-    counts = units.select("unit").distinct().select(F.xxhash64("unit").alias("u1"), F.md5("unit").alias("u2"), "unit")
+    counts = units.where("unit <> ''").select("unit").distinct().select(*_unit_keys(), "unit")
     held = counts.select("u1", "u2", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("u1", "u2", "term").count()
     weighted = materialise(held.join(weights, "term", "left").select("u1", "u2", "term", (F.col("count") * F.coalesce("idf", F.lit(unknown))).alias("w")))
     norms = weighted.groupBy("u1", "u2").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -222,9 +247,11 @@ def licence_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n_words")
     held = keyed.select("path", "text_hash", n_words, _folded(F.col("text")).alias("folded")).where(F.arrays_overlap(_terms(F.col("folded")), needed))
     every = held.select("path", "text_hash", "n_words", F.explode(units_of(F.col("folded"))).alias("u")).select("path", "text_hash", "n_words", "u.kind", "u.unit")
-    units = materialise(every.where(F.arrays_overlap(_terms(F.col("unit")), needed)))
+    every = every.withColumn("may", _may_match(_terms(F.col("unit")), vectors))
+    # a file's whole text stays as a row, without its text where it can't match: rows are counted by it
+    units = materialise(every.where("may OR kind = 2").select("path", "text_hash", "n_words", "kind", F.when(F.col("may"), F.col("unit")).otherwise(F.lit("")).alias("unit")))
     found = _small(matched_units(units, vectors))
-    place = units.select("path", "text_hash", "n_words", "kind", F.xxhash64("unit").alias("u1"), F.md5("unit").alias("u2"), F.regexp_count("unit", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))
+    place = units.select("path", "text_hash", "n_words", "kind", *_unit_keys(), F.regexp_count("unit", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))
     hits = place.join(found, ["u1", "u2"])
     own = hits.groupBy("path", "text_hash").agg(
         F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("best"),
