@@ -258,3 +258,22 @@ def test_soft_membership(spark):
     part = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1), ("d", 1)], "node string, cl int")
     assert rows(graph.soft_membership(e, part), "comm", "node", "strength") == [(0, "a", 1), (0, "b", 1), (0, "c", 0.5), (1, "b", 0.5), (1, "c", 1), (1, "d", 1)]
     assert len(rows(graph.soft_membership(e, part, "maxaff"), "comm")) == 4
+
+
+def test_balancing_in_memory_brings_no_cells_to_the_driver(spark, monkeypatch):
+    """Both ways give the same factors; neither collects the map."""
+    cells = [(a, b, float(1 + (min(a, b) * 7 + max(a, b)) % 5)) for a in range(12) for b in range(12) if (a + b) % 3 or a == b]
+    matrix, contigs = spark.createDataFrame(cells, "i int, j int, w double"), spark.createDataFrame([(k,) for k in range(14)], "ix int")
+    for name in ("toArrow", "toPandas"):
+        monkeypatch.setattr(type(matrix), name, lambda self, name=name: pytest.fail(f"{name} was called"))
+    found = []
+    for bound in (normalise.LOCAL_CELLS, 0):
+        monkeypatch.setattr(normalise, "LOCAL_CELLS", bound)
+        _, x, steps = normalise.balance(matrix, contigs, 1e-9)
+        assert x.schema["ix"].dataType == contigs.schema["ix"].dataType
+        found.append((x.groupBy().agg(F.count("*"), F.round(F.sum("x"), 9), F.round(F.sum(F.col("x") * F.col("ix")), 8)).first(), steps))
+    assert found[0] == found[1]
+    assert found[0][0][0] == 14
+    with pytest.raises(RuntimeError, match="didn't reach"):
+        monkeypatch.setattr(normalise, "LOCAL_CELLS", 100_000)
+        normalise.balance(matrix, contigs, 1e-9, max_iter=1)
