@@ -5,6 +5,8 @@ of each document in the mixture.
 
 Defined results of every stage: an empty table gives an empty one; columns beyond doc_id, text and source are carried along whatever their names
 (where the last stage's own names are taken, it leads them by underscores); texts are taken whole, however long.
+
+Stages with Python code leave the session with small batches for its workers, which share an executor's memory with its heap and buffers.
 """
 
 from __future__ import annotations
@@ -15,12 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import decontamination, mixing, ngram_join, quality_rules, toxicity
-from pairloom.llm.common import materialise, table
+from pairloom.llm.common import materialise, small_batches, table
 from pairloom.llm.queries import toxicity_model
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the strict quality policy.  Null and empty texts fail it; equal rows stay or go together; a measure at its limit passes."""
+    small_batches(spark)
     ledger, _, bits = quality_rules.with_ledger(docs)
     return ledger.where(quality_rules.passes(bits, "strict-1")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -30,6 +33,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     The model is learned from labelled rows of the whole ``documents``; without labels nothing goes.  A score of 0.7 goes.
     """
+    small_batches(spark)
     scored, score = toxicity.with_toxicity(docs, toxicity_model(spark, table(spark, sf_dir, "documents"), sf_dir))
     return scored.where(F.col(score) < 0.7).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -39,6 +43,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Documents without a word are in no group and stay.
     """
+    small_batches(spark)
     return ngram_join.one_of_each_group(docs)
 
 

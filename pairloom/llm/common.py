@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.session import materialise, release, shared_dir
+from pairloom.session import materialise, release, shared_dir, small_batches
 
-__all__ = ["crc_mod", "let", "materialise", "release", "shared_dir", "table", "unused_name"]
+__all__ = ["crc_mod", "let", "materialise", "release", "shared_dir", "small_batches", "table", "unused_name"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

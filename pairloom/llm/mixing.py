@@ -134,7 +134,9 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, source_col:
     slots, slots_at = slot_table(spark, blocks, weights)
     # sources of several buckets, of which there are fewer than rows by BUCKET_ROWS; the others have one
     several = sorted((r["origin"], r["rows"] // BUCKET_ROWS) for r in sizes if r["rows"] >= 2 * BUCKET_ROWS)
-    placed = materialise(places(groups, slots, block_bytes, spark.createDataFrame(several, "part_source string, part_count bigint")))
+    # from Arrow, as a list of rows would start Python workers, of a kind that the executors keep beside those of the other stages
+    parts = pa.table([pa.array([s for s, _ in several], "string"), pa.array([k for _, k in several], "int64")], ["part_source", "part_count"])
+    placed = materialise(places(groups, slots, block_bytes, spark.createDataFrame(parts)))
     release(groups)
     names = {x: unused_name(keyed, f"mix_at_{x}") for x in placed.columns}
     c = {x: F.col(name) for x, name in names.items()}

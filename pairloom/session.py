@@ -38,6 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Rows and bytes of a batch that goes to a Python worker, at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends Python workers batches of at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES``; lower settings stay.
+
+    A worker holds a batch several times over (as it was read, as Python objects, as the result), and keeps much of what it once held; the JVM
+    buffers it outside its heap.  Results don't depend on it.  The setting is read when a plan is made, so frames that are returned need it to stay.
+    """
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for name, most, number in (("maxRecordsPerBatch", BATCH_ROWS, int), ("maxBytesPerBatch", BATCH_BYTES, size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < number(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 

@@ -5,6 +5,9 @@ import re
 import unicodedata
 
 import corpus_pipeline
+import pyarrow as pa
+import pytest
+from pairloom import session
 from pairloom.llm import mixing, toxicity
 from pairloom.llm.queries import toxicity_model
 from tests.llm.test_llm import _contamination, _measures
@@ -101,3 +104,38 @@ def test_stages_of_nothing(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
     assert toxicity.Model().terms == {} and corpus_pipeline.run(spark, folder).count() == 0
+
+
+def _sizes(batches):
+    for b in batches:
+        yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+
+@pytest.mark.parametrize("k", [0, 1, 2])
+def test_batches_for_workers_are_small(spark, tmp_path, k):
+    """After a stage with Python code a worker gets few rows and bytes at once, also of long texts; a lower setting stays."""
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, "a b c", "s")], "doc_id bigint, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    try:
+        for name in names:
+            spark.conf.unset(name)
+        corpus_pipeline.STAGES[k][1](spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+        rows = spark.range(0, 5000, 1, 1)
+        assert max(r["n"] for r in rows.mapInArrow(_sizes, "n bigint, size bigint").collect()) <= session.BATCH_ROWS
+        long = rows.where("id < 300").selectExpr("id", "repeat('w', 100000) AS text").mapInArrow(_sizes, "n bigint, size bigint").collect()
+        assert sum(r["n"] for r in long) == 300 and max(r["size"] for r in long) <= 2 * session.BATCH_BYTES
+        spark.conf.set(names[0], "7")
+        session.small_batches(spark)
+        assert spark.conf.get(names[0]) == "7"
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+
+
+def test_mixing_starts_no_python_workers(spark, monkeypatch):
+    """A list made a frame goes through workers of a kind of its own, which executors keep beside the others."""
+    docs = spark.createDataFrame([(1, "a b c", "s"), (2, "d", None)], "doc_id bigint, text string, source string")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
+    assert corpus_pipeline.mixing_stage(spark, docs, "").count() == 2
