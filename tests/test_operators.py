@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -277,3 +278,22 @@ def test_balancing_in_memory_brings_no_cells_to_the_driver(spark, monkeypatch):
     with pytest.raises(RuntimeError, match="didn't reach"):
         monkeypatch.setattr(normalise, "LOCAL_CELLS", 100_000)
         normalise.balance(matrix, contigs, 1e-9, max_iter=1)
+
+
+@pytest.mark.parametrize("bound", [normalise.LOCAL_CELLS, 0])
+def test_nearly_bipartite_map_is_balanced(spark, monkeypatch, bound):
+    """A heavy contact of contigs whose diagonals are light and differ: damped steps alone need more than 500."""
+    monkeypatch.setattr(normalise, "LOCAL_CELLS", bound)
+    monkeypatch.setattr(normalise, "DAMPED", 5, raising=False)
+    rows = [(0, 0, 5.0), (0, 1, 300.0), (1, 0, 300.0), (1, 2, 2.0), (2, 1, 2.0)]
+    matrix, contigs = spark.createDataFrame(rows, "i int, j int, w double").repartition(2), spark.range(3).select(F.col("id").cast("int").alias("ix"))
+    plain = np.eye(3)
+    for i, j, w in rows:
+        plain[i, j] = w
+    x = 1 / np.sqrt(plain.sum(axis=1))
+    for _ in range(500):
+        x = np.sqrt(x / (plain @ x))
+    assert ((1 - x * (plain @ x)) ** 2).sum() > 1e-24
+    _, scale, _ = normalise.balance(matrix, contigs, 1e-12, max_iter=500)
+    found = np.array([r["x"] for r in sorted(scale.collect())])
+    assert np.abs(found * (plain @ found) - 1).max() < 1e-11
