@@ -82,3 +82,25 @@ def test_components_in_memory_equal_the_whole_by_tiles(spark, monkeypatch, seed)
     monkeypatch.setattr(clustering, "TILE", 5)
     there = {r["node"]: r["cl"] for r in clustering.mcl(df, inflation=1.6).collect()}
     assert here == there and len(here) == 32
+
+
+@pytest.mark.parametrize("local", [2048, 4, 0])
+def test_two_steps_equal_plain_products(spark, monkeypatch, local):
+    """Small components whole in a task, larger ones by tiles; no step of a small one is written."""
+    monkeypatch.setattr(clustering, "LOCAL_NODES", local)
+    monkeypatch.setattr(clustering, "STRIP", 30)
+    stepped = []
+    step = clustering.mcl_step
+    monkeypatch.setattr(clustering, "mcl_step", lambda *a, **b: stepped.append(1) or step(*a, **b))
+    edges = graph(7)
+    nodes, m = plain_start(edges)
+    start = clustering.mcl_start(spark.createDataFrame(edges, "u int, v int, weight double"))
+    found = {(r["i"], r["j"]): r["w"] for r in clustering.mcl_iterated(start, 2).collect()}
+    assert found == cells(nodes, plain_step(plain_step(m, 1.2, 0.0), 1.2, 0.0))
+    assert len(stepped) == (0 if local == 2048 else 2)
+
+
+def test_vanishing_cells_of_a_small_component_stay(spark):
+    rows = [(0, 0, 1e-200), (0, 1, 1.0), (1, 0, 1e-200), (1, 1, 0.5)]
+    found = {(r["i"], r["j"]) for r in clustering.mcl_iterated(spark.createDataFrame(rows[:3], "i int, j int, w double"), 1).collect()}
+    assert found == {(0, 0), (0, 1), (1, 0), (1, 1)}
