@@ -104,3 +104,15 @@ def test_vanishing_cells_of_a_small_component_stay(spark):
     rows = [(0, 0, 1e-200), (0, 1, 1.0), (1, 0, 1e-200), (1, 1, 0.5)]
     found = {(r["i"], r["j"]) for r in clustering.mcl_iterated(spark.createDataFrame(rows[:3], "i int, j int, w double"), 1).collect()}
     assert found == {(0, 0), (0, 1), (1, 0), (1, 1)}
+
+
+def test_components_beyond_local_ones_are_settled_in_a_task(spark, monkeypatch):
+    """Components of up to three times ``LOCAL_NODES`` need no step by tiles, and get the clusters that they get by tiles."""
+    df = spark.createDataFrame(graph(3, groups=2), "u int, v int, weight double")
+    monkeypatch.setattr(clustering, "LOCAL_NODES", 4)
+    monkeypatch.setattr(clustering, "ROWS", 5, raising=False)
+    monkeypatch.setattr(clustering, "mcl_step", lambda *a, **b: pytest.fail("a step by tiles"))
+    found = {r["node"]: r["cl"] for r in clustering.mcl(df, inflation=1.6).collect()}
+    assert len(found) == 23
+    monkeypatch.setattr(clustering, "LOCAL_NODES", 2048)
+    assert found == {r["node"]: r["cl"] for r in clustering.mcl(df, inflation=1.6).collect()}
